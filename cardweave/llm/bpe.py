@@ -31,7 +31,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
 #: White space for str.split() that isn't white space for the tokenizer.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Words and runs that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 END = "Ā"
 
 
@@ -125,7 +125,7 @@ class WordBpe:
                 pair = before[0] << 20 | token
                 good = fits.get(pair)
                 if good is None:
-                    if len(fits) > 4 * REMEMBERED:
+                    if len(fits) > 2 * REMEMBERED:
                         fits.clear()
                     good = fits[pair] = self.compatible(before[0], token)
                 if not good:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -68,10 +70,18 @@ def map_rows(df: DataFrame, work: Callable[[list[list]], list[list]], schema: st
                 piece = batch.slice(start, rows)
                 done = work([c.to_pylist() for c in piece.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(done, out, strict=True)], schema=out)
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
     """Joins rows to one row a key. Keys with HEAVY_SHARE of total rows, at most 1 / HEAVY_SHARE of them, are
     broadcast, so no task gets all rows of a hot key; the other keys are shuffled.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, on_workers
+from .common import cut, give_back, map_rows, on_workers
 
 MAX_TRAIN, MAX_TERMS, MAX_STEM = 20_000, 4_000, 7
 #: How much more frequent a terminal is in toxic rows; what a clean row that has it costs, in toxic rows.
@@ -82,7 +82,7 @@ class Grammar:
                         weight = max(weight, self.stems.get(token[:size], 0.0))
                 if not weight:
                     weight = -1.0 if token in TARGETS or token in NEGATIONS or token in REPORTS or token in INTENTS or token in HARMS else 0.0
-                if len(memory) > 500_000:
+                if len(memory) > 100_000:
                     memory.clear()
                 memory[token] = weight
             if not weight:
@@ -149,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 found = candidates(t)
                 rows[y > 0].update(found.keys())
                 times[y > 0].update(found)
-                if len(rows[0]) + len(rows[1]) > 300_000:
+                if len(rows[0]) + len(rows[1]) > 100_000:
                     yield from out(rows, times)
                     rows, times = (Counter(), Counter()), (Counter(), Counter())
         yield from out(rows, times)
@@ -256,7 +256,10 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [grammar.score(grammar.features(t or "", memory)) < 0.5 for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                keep = [grammar.score(grammar.features(t or "", memory)) < 0.5 for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)

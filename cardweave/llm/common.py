@@ -7,7 +7,8 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -95,6 +96,23 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, total
     return rows.join(hot, key, "inner").unionByName(rows.join(hot.select(key), key, "left_anti").join(light, key, how))
 
 
+def overlap(spans: Iterable[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span shares a character with any of these; each question takes logarithmic time."""
+    starts, stops = [], []
+    for start, stop in sorted(spans):
+        if stops and start <= stops[-1]:
+            stops[-1] = max(stops[-1], stop)
+        else:
+            starts.append(start)
+            stops.append(stop)
+
+    def shared(start: int, stop: int) -> bool:
+        before = bisect_left(starts, stop)
+        return before > 0 and stops[before - 1] > start
+
+    return shared
+
+
 def spans_sha256(spans: Column, kinds: tuple[str, ...]) -> Column:
     """sha256 of the kind:start:end of the spans of these kinds, in order."""
     return F.sha2(spans_text(F.filter(spans, lambda s: s["kind"].isin(*kinds))), 256)

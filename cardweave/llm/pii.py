@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, spans_sha256, spans_text
+from .common import map_rows, overlap, spans_sha256, spans_text
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "local_phone")
@@ -116,14 +116,13 @@ def context_score(text: str, kind: str, start: int, stop: int) -> float:
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, stop, score) by start, then by the order of KINDS."""
-    found, base = [], []
-    for kind, start, stop in proposed(text):
+    spans = list(proposed(text))
+    based = overlap((start, stop) for kind, start, stop in spans if kind in BASE)
+    found = []
+    for kind, start, stop in spans:
         score = context_score(text, kind, start, stop)
-        if kind in BASE:
-            base.append((start, stop))
-        elif score < KEEP or any(a < stop and start < b for a, b in base):
-            continue
-        found.append((kind, start, stop, score))
+        if kind in BASE or (score >= KEEP and not based(start, stop)):
+            found.append((kind, start, stop, score))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

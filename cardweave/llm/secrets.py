@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, spans_sha256, spans_text
+from .common import map_rows, overlap, spans_sha256, spans_text
 from .pii import number
 
 BASE = ("assign", "access", "hex")
@@ -58,9 +58,9 @@ def find(text: str, path: str) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", *m.span()) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
-    base = [(a, b) for _, a, b in found]
+    based = overlap((a, b) for _, a, b in found)
     for m in RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in base) and is_random(m[0].strip("=-_/+"), path):
+        if not based(*m.span()) and is_random(m[0].strip("=-_/+"), path):
             found.append(("random", *m.span()))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardweave.llm import bpe, exact_dedup, html_extract, mixing, pii, quality, secrets, simhash, toxicity, url_filter
+from cardweave.llm.common import overlap
 from cardweave.llm.components import components, local_components
 from cardweave.llm.registry import TOKENIZERS
 
@@ -115,6 +116,14 @@ def test_pii_spans():
     assert len(pii.find("a" * 100_000 + "@" * 1000)) == 0
 
 
+def test_overlap():
+    rng = random.Random(7)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 5)) for a in (rng.randrange(40) for _ in range(rng.randint(0, 8)))]
+        shared, (a, b) = overlap(spans), sorted(rng.sample(range(45), 2))
+        assert shared(a, b) == any(x < b and a < y for x, y in spans)
+
+
 def test_secrets():
     path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     assert [s[0] for s in secrets.find("TOKEN: abcdefghij12 AKIAABCDEFGHIJKLMN deadbeefdeadbeef", path)] == ["assign", "access", "hex"]

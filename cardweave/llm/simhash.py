@@ -187,13 +187,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "groups")
     roots = components(link(groups)).select(F.col("node").alias("fp"), "root")
     roots = cut(groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
-    # A root whose component is itself alone needs no join.
-    linked = roots.filter("root <> fp").select("root").distinct()
-    several = roots.join(linked, "root", "left_semi")
-    lowest = several.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = several.join(lowest, "root").select("fp", "component_id", "n").unionByName(
-        roots.join(linked, "root", "left_anti").select("fp", F.col("rep").alias("component_id"), "n")
-    )
+    # Members other than the root are first combined map-side, then meet their root, whose key is unique. Back to them
+    # a component of many fingerprints is broadcast, so none of its tasks grows with it.
+    members = roots.filter("root <> fp")
+    low = members.groupBy("root").agg(F.min("rep").alias("low"), F.count("*").alias("members"))
+    done = roots.filter("root = fp").join(low, "root", "left")
+    done = cut(done.select("root", "n", F.least("rep", "low").alias("component_id"), "members"), "lowest")
+    per_root = done.filter("members is not null").select("root", "component_id", "members")
+    placed = join_by_key(members.select("root", "fp", "n"), per_root, "root", "members", members.count())
+    ids = placed.select("fp", "component_id", "n").unionByName(done.select(F.col("root").alias("fp"), "component_id", "n"))
     return join_by_key(prints, cut(ids, "components"), "fp", "n", total).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -19,9 +19,10 @@ from .sampling import draw
 MAX_ROWS = 100_000
 
 
-def training_rows(rows: DataFrame, max_rows: int = MAX_ROWS, seed: int = 2026) -> DataFrame:
-    """rows once under their category and once under the fallback; of each some max_rows at most."""
-    twice = rows.withColumn("model", F.explode(F.array(F.coalesce("category", F.lit("None")), F.lit(FALLBACK))))
+def training_rows(rows: DataFrame, max_rows: int = MAX_ROWS, seed: int = 2026, fallback: bool = True) -> DataFrame:
+    """rows once under their category and, unless told not to, once under the fallback; of each some max_rows at most."""
+    own = F.coalesce("category", F.lit("None"))
+    twice = rows.withColumn("model", F.explode(F.array(own, F.lit(FALLBACK))) if fallback else own)
     sizes = twice.groupBy("model").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("n"))
     return twice.join(F.broadcast(sizes), "model").filter(draw(seed, "id1", "id2") < share * float(1 << 32)).drop("n")
@@ -133,14 +134,92 @@ def train_boosting(rows: DataFrame, features: Column, rate: float = 0.05, iterat
     return fitted.filter("tree >= 0"), fitted.filter("tree < 0").select("category", F.col("value").alias("baseline"))
 
 
-def train_trees(rows: DataFrame, features: Column, trees: int = 300, least: int = 20, seed: int = 2026):
-    """The nearest of Spark's ensembles to extra trees: a random forest over bounded rows; its model and the scored rows."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def extra_tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, tries: int, least: int) -> tuple[list[int], list[float], list[int], list[int], list[float]]:
+    """One extra tree (feature, threshold, left, right, value; leaves have left -1): at a node the best, by Gini, of one
+    random threshold for each of some drawn features, until no split leaves both sides their least rows."""
+    feature, threshold, left, right, value = [0], [0.0], [-1], [-1], [0.0]
+    open_nodes = [(0, np.arange(len(y)))]
+    while open_nodes:
+        node, rows = open_nodes.pop()
+        n, ones = len(rows), y[rows].sum()
+        value[node] = float(ones / n)
+        if n < 2 * least or ones in (0, n):
+            continue
+        xs = x[rows]
+        low, high = xs.min(0), xs.max(0)
+        order = rng.permutation(x.shape[1])
+        varied = high[order] > low[order]
+        # Of the drawn features those that vary; where none does, the next that does.
+        found = order[:tries][varied[:tries]] if varied[:tries].any() else order[varied][:1]
+        if not len(found):
+            continue
+        at = rng.uniform(low[found], high[found]).astype(np.float32)
+        at = np.where(at >= high[found], low[found], at)
+        goes = xs[:, found] <= at
+        n_left, ones_left = goes.sum(0), y[rows] @ goes
+        n_right, ones_right = n - n_left, ones - ones_left
+        fits = (n_left >= least) & (n_right >= least)
+        if not fits.any():
+            continue
+        pure = lambda k, m: (k**2 + (m - k) ** 2) / np.maximum(m, 1)
+        best = int(np.where(fits, pure(ones_left, n_left) + pure(ones_right, n_right), -1.0).argmax())
+        feature[node], threshold[node], left[node], right[node] = int(found[best]), float(at[best]), len(value), len(value) + 1
+        for side in (goes[:, best], ~goes[:, best]):
+            open_nodes.append((len(value), rows[side]))
+            for column, blank in zip((feature, threshold, left, right, value), (0, 0.0, -1, -1, 0.0), strict=True):
+                column.append(blank)
+    return feature, threshold, left, right, value
+
+
+TREES_A_TASK = 25
+
+
+def train_trees(rows: DataFrame, features: Column, trees: int = 300, share: float = 0.8, least: int = 20, seed: int = 2026, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(category, tree, feature, threshold, left, right, value), a row a tree with its nodes as arrays: extra trees of
+    each category, without a limit on depth or a fallback. A task grows TREES_A_TASK trees of a category."""
+    schema = "category string, tree int, feature array<int>, threshold array<float>, left array<int>, right array<int>, value array<float>"
+    data = training_rows(rows, max_rows, fallback=False).select("model", (F.col("target") >= 0.5).cast("double").alias("y"), features.alias("x"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(trees - 1), F.lit(TREES_A_TASK)))
 
-    data = rows.withColumns({"label": (F.col("target") >= 0.5).cast("double"), "x": array_to_vector(features)})
-    model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, featureSubsetStrategy="0.8", minInstancesPerNode=least, maxDepth=10, seed=seed).fit(data)
-    return model, model.transform(data).withColumn("predict", vector_to_array("probability")[1]).select(*rows.columns, "predict")
+    def fit(key, part):
+        x, y = np.stack(part.x.to_numpy()).astype(np.float32), part.y.to_numpy()
+        order = np.lexsort((*x.T, y))
+        x, y = x[order], y[order]
+        found = []
+        for t in range(key[1], min(trees, key[1] + TREES_A_TASK)):
+            rng = np.random.default_rng([seed, t, *key[0].encode()])
+            found.append((key[0], t, *extra_tree(x, y, rng, max(1, int(share * x.shape[1])), least)))
+        return pd.DataFrame(found, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return cut(data.withColumn("block", blocks).groupBy("model", "block").applyInPandas(fit, schema), "trees")
+
+
+def tree_scores(rows: DataFrame, forest: DataFrame, features: Column, name: str = "predict") -> DataFrame:
+    """rows with the mean leaf value of the trees of their category; null without one."""
+    held: dict[str, list] = {}
+    for r in forest.orderBy("category", "tree").toLocalIterator():
+        held.setdefault(r.category, []).append((np.array(r.feature, np.int16), np.array(r.threshold, np.float32), np.array(r.left, np.int32), np.array(r.right, np.int32), np.array(r.value, np.float32)))
+    sent = rows.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("double")
+    def walk(category: pd.Series, x: pd.Series) -> pd.Series:
+        out, which = np.full(len(x), np.nan), category.to_numpy()
+        table = np.stack(x.to_numpy()).astype(np.float32) if len(x) else np.zeros((0, 1), np.float32)
+        for c in set(which) & set(sent.value):
+            at = np.flatnonzero(which == c)
+            total = np.zeros(len(at))
+            for feature, threshold, left, right, value in sent.value[c]:
+                node = np.zeros(len(at), np.int64)
+                active = np.flatnonzero(left[node] >= 0)
+                while len(active):
+                    k = node[active]
+                    node[active] = np.where(table[at[active], feature[k]] <= threshold[k], left[k], right[k])
+                    active = active[left[node[active]] >= 0]
+                total += value[node]
+            out[at] = total / len(sent.value[c])
+        return pd.Series(out)
+
+    return rows.withColumn(name, F.nanvl(walk(F.coalesce("category", F.lit("None")), features), F.lit(None)))
 
 
 def hybrid_rows(hard: DataFrame, soft: DataFrame, factor: float) -> DataFrame:

@@ -562,17 +562,13 @@ def train_logistic(spark, d):
 @query("train_boosting")
 def train_boosting(spark, d):
     fit, valid = training(spark, d)
-    return holdout_ap(models.forest_scores(valid, *train.train_boosting(fit, vector(), iterations=20), vector()))
+    return holdout_ap(models.forest_scores(valid, *train.train_boosting(fit, vector()), vector()))
 
 
 @query("train_extra_trees_like")
 def train_extra_trees_like(spark, d):
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
     fit, valid = training(spark, d)
-    model, _ = train.train_trees(fit, vector(), trees=20)
-    scored_rows = model.transform(valid.withColumn("x", array_to_vector(vector())))
-    return holdout_ap(scored_rows.withColumn("predict", vector_to_array("probability")[1]))
+    return holdout_ap(train.tree_scores(valid, train.train_trees(fit, vector()), vector()))
 
 
 @query("train_weighted_hybrid")

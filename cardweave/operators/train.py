@@ -117,10 +117,10 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float, iterati
     return base, out
 
 
-def train_boosting(rows: DataFrame, features: Column, rate: float = 0.05, iterations: int = 250, leaves: int = 31, least: int = 40, l2: float = 2.0, max_rows: int = MAX_ROWS, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+def train_boosting(rows: DataFrame, features: Column, rate: float = 0.05, iterations: int = 250, leaves: int = 31, least: int = 40, l2: float = 2.0, max_rows: int = MAX_ROWS, weight: str | None = None, fallback: bool = True) -> tuple[DataFrame, DataFrame]:
     """(forest, baseline) of rows (id1, id2, category, target, …): leaf-wise histogram boosting of the log loss."""
     schema = "category string, tree int, node int, feature int, threshold float, missing_left boolean, left int, right int, is_leaf boolean, value float"
-    data = training_rows(rows, max_rows).select("model", (F.col("target") >= 0.5).cast("double").alias("y"), features.alias("x"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
+    data = training_rows(rows, max_rows, fallback=fallback).select("model", (F.col("target") >= 0.5).cast("double").alias("y"), features.alias("x"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
 
     def fit(key, part):
         x = np.stack(part.x.to_numpy()).astype(np.float32)

@@ -575,8 +575,13 @@ def train_extra_trees_like(spark, d):
 def train_weighted_hybrid(spark, d):
     fit, valid = training(spark, d)
     hard = fit.withColumn("target", F.col("target").cast("double"))
-    both = train.hybrid_rows(hard.filter("id1 % 2 = 0"), hard.filter("id1 % 2 = 1"), 5)
-    return holdout_ap(models.linear_scores(valid, train.train_logistic(both, vector(), weight="weight"), vector()))
+    human, soft = hard.filter("id1 % 2 = 0"), hard.filter("id1 % 2 = 1")
+    out = None
+    for factor in (2.0, 5.0, 10.0):
+        fitted = train.train_boosting(train.hybrid_rows(human, soft, factor), vector(), weight="weight", fallback=False)
+        ap = holdout_ap(models.forest_scores(valid, *fitted, vector())).select(F.lit(factor).alias("human_weight"), "cat", "ap")
+        out = ap if out is None else out.unionByName(ap)
+    return out
 
 
 # Contract

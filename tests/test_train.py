@@ -55,3 +55,16 @@ def test_extra_tree_keeps_least_rows_and_has_no_depth_limit():
         return leaves(left[node], rows[goes], depth + 1) + leaves(right[node], rows[~goes], depth + 1)
 
     assert max(leaves(0, np.arange(3000), 0)) > 10
+
+
+def test_hybrid_query_boosts_with_each_human_weight(spark, small, monkeypatch):
+    asked, real = [], train.train_boosting
+
+    def kept(rows, *a, **k):
+        asked.append((max(r.weight for r in rows.select("weight").distinct().collect()), k))
+        return real(rows, *a, **k)
+
+    monkeypatch.setattr(train, "train_boosting", kept)
+    got = queries.QUERIES["train_weighted_hybrid"](spark, "").collect()
+    assert [w for w, _ in asked] == [2, 5, 10] and all(k["weight"] == "weight" and "iterations" not in k for _, k in asked)
+    assert {(r.human_weight, r.cat) for r in got} == {(w, c) for w in (2, 5, 10) for c in "ab"} and all(r.ap > 0.9 for r in got)

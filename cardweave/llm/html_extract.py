@@ -4,7 +4,7 @@ Pages of a host are parsed to trees in which repeated siblings are folded. Trees
 (the largest order-preserving match of equally named nodes) and merged into one wrapper per host: a node counts the
 pages that have it and knows whether its text ever differed. All pages of a host take part: wrappers are merged
 within partitions, then by salted host, then by host. Constant nodes are template, varying slots are content; menus,
-forms, adverts and the like vary too, and are told by their names.
+forms, adverts and the like vary too, and are told by their names. Where there is a template, names of articles choose nothing.
 """
 
 from __future__ import annotations
@@ -262,13 +262,21 @@ def extract(source: str | None, wrapper: list | None) -> str:
         fixed: set[int] = set()
         _mark(wrapper, tree, wrapper[PAGES], fixed)
         template = {k for k, v in of.items() if id(v) in fixed}
-    tops = _articles(root) or [root]
+    whole = _blocks([root], template)
+    if template or not (articles := _articles(root)):
+        return "\n\n".join(whole)
+    # Without a template names may tell the article, but not if most of the text is elsewhere.
+    named = _blocks(articles, template)
+    return "\n\n".join(named if 2 * sum(map(len, named)) >= sum(map(len, whole)) else whole)
+
+
+def _blocks(tops: list[Node], template: set[int]) -> list[str]:
     out: list[str] = []
     for top in tops:
         blocks: list[list[str]] = [[]]
-        _text(top, blocks, template, top is not root)
+        _text(top, blocks, template, top.kind == "article")
         out += [t for b in blocks if (t := " ".join(html.unescape("".join(b)).split()))]
-    return "\n\n".join(out)
+    return out
 
 
 def _mark(wrapper: list, tree: list, pages: int, fixed: set[int]) -> None:
@@ -303,7 +311,7 @@ def _text(node: Node, blocks: list[list[str]], template: set[int], inside: bool)
             block = child.tag in BLOCKS
             if block:
                 blocks.append([])
-            _text(child, blocks, template, inside)
+            _text(child, blocks, template, inside or child.kind == "article")
             if block:
                 blocks.append([])
 

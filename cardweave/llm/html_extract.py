@@ -1,19 +1,17 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are parsed to trees in which repeated siblings are folded. Trees are aligned by simple tree matching
-(the largest order-preserving match of equally named nodes) and merged into one wrapper per host: a node counts the
-pages that have it and knows whether its text ever differed. All pages of a host take part: wrappers are merged
-within partitions, then by salted host, then by host. Constant nodes are template, varying slots are content; menus,
-forms, adverts and the like vary too, and are told by their names. Where there is a template, names of articles choose nothing.
+A text's place is the path of names from the root to its node. Over all pages of a host, each text at each place is
+counted by the pages that have it, exactly, in a grouped aggregate: siblings aren't folded, no wrapper is capped, and
+the order of rows doesn't matter. Texts on nearly all pages are template, the others are content; menus, forms, adverts
+and the like vary too, and are told by their names. Where there is a template, names of articles choose nothing.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
 from collections.abc import Iterator
-from zlib import crc32
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,10 +20,8 @@ from pyspark.sql import functions as F
 from .common import cut, join_by_key, on_workers
 from .url_filter import parts
 
-#: A constant node is template if so many pages of its host, and this share of them, have it.
+#: A text at its place is template if so many pages of its host, and this share of them, have it.
 MIN_PAGES, MIN_SHARE = 5, 0.8
-#: Nodes of a wrapper; what doesn't fit counts as varying, which keeps its text. Hosts held by a task at a time.
-MAX_NODES, MAX_HOSTS, SALTS = 2_000, 500, 32
 
 #: Fixed values of HTML: elements without content, with raw content, that begin a block, that an element's start ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -143,127 +139,24 @@ def parse(source: str) -> Node:
             at = node
 
 
-# A folded tree is a list [name, text, repeated, pages, children]; text is "" for none, a digest for one text, "*" for
-# differing ones. In a wrapper, pages counts the pages that have the node.
-NAME, TEXT, REPEATED, PAGES, CHILDREN = range(5)
+def places(root: Node) -> Iterator[tuple[int, int]]:
+    """(id of the node, digest of its path and own text) of nodes with text outside of what is dropped."""
+    open_nodes = [(root, b"")]
+    while open_nodes:
+        node, above = open_nodes.pop()
+        path = blake2b(above + node.name.encode("utf-8", "replace"), digest_size=8).digest()
+        own = " ".join(" ".join(x for x in node.nodes if isinstance(x, str)).split())
+        if own:
+            yield id(node), int.from_bytes(blake2b(own.encode("utf-8", "replace"), digest_size=8, key=path).digest(), "little", signed=True)
+        open_nodes += [(x, path) for x in node.nodes if isinstance(x, Node) and x.kind != "dropped"]
 
 
-def _joined(a: str, b: str) -> str:
-    return a if a == b else "*"
-
-
-def fold(node: Node, of: dict[int, list]) -> list:
-    """The folded tree of a node; of tells, by id, each node's folded one."""
-    own = " ".join(" ".join(x for x in node.nodes if isinstance(x, str)).split())
-    out = [node.name, f"{crc32(own.encode('utf-8', 'replace')):08x}{len(own)}" if own else "", False, 1, []]
-    of[id(node)] = out
-    for child in node.nodes:
-        if isinstance(child, Node):
-            new = fold(child, of)
-            last = out[CHILDREN][-1] if out[CHILDREN] else None
-            if last is not None and last[NAME] == new[NAME]:
-                moved: dict[int, list] = {}
-                merge(last, new, moved, same_page=True)
-                last[REPEATED] = True
-                for k, v in of.items():
-                    if id(v) in moved:
-                        of[k] = moved[id(v)]
-            else:
-                out[CHILDREN].append(new)
-    return out
-
-
-def matched(a: list, b: list, memory: dict) -> int:
-    """Simple tree matching: the number of nodes in the largest match of two trees with equally named roots."""
-    if a[NAME] != b[NAME]:
-        return 0
-    key = (id(a), id(b))
-    if key not in memory:
-        row = [0] * (len(b[CHILDREN]) + 1)
-        for x in a[CHILDREN]:
-            before, row = row, [0]
-            for j, y in enumerate(b[CHILDREN]):
-                row.append(max(before[j + 1], row[j], before[j] + matched(x, y, memory)))
-        memory[key] = row[-1] + 1
-    return memory[key]
-
-
-def aligned(a: list, b: list) -> list[tuple[int | None, int | None]]:
-    """Pairs of children, in order, of the best match; None stands for no partner."""
-    xs, ys = a[CHILDREN], b[CHILDREN]
-    if len(xs) == len(ys) and all(x[NAME] == y[NAME] for x, y in zip(xs, ys, strict=True)):
-        return [(i, i) for i in range(len(xs))]
-    memory: dict = {}
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i, x in enumerate(xs):
-        for j, y in enumerate(ys):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + matched(x, y, memory))
-    pairs, i, j = [], len(xs), len(ys)
-    while i or j:
-        if i and j and best[i][j] == best[i - 1][j - 1] + matched(xs[i - 1], ys[j - 1], memory) > best[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif j and best[i][j] == best[i][j - 1]:
-            j -= 1
-            pairs.append((None, j))
-        else:
-            i -= 1
-            pairs.append((i, None))
-    return pairs[::-1]
-
-
-def merge(into: list, tree: list, moved: dict[int, list], room: list[int] | None = None, same_page: bool = False) -> None:
-    """Merges tree into another with an equally named root; moved tells, by id, where tree's nodes went."""
-    moved[id(tree)] = into
-    into[TEXT] = _joined(into[TEXT], tree[TEXT]) if into[TEXT] and tree[TEXT] else into[TEXT] or tree[TEXT]
-    into[REPEATED] = into[REPEATED] or tree[REPEATED]
-    into[PAGES] = max(into[PAGES], tree[PAGES]) if same_page else into[PAGES] + tree[PAGES]
-    children = []
-    for i, j in aligned(into, tree):
-        if i is not None:
-            children.append(into[CHILDREN][i])
-        if j is not None:
-            if i is not None:
-                merge(children[-1], tree[CHILDREN][j], moved, room, same_page)
-            elif room is None or room[0] > 0:
-                if room is not None:
-                    room[0] -= size(tree[CHILDREN][j])
-                children.append(tree[CHILDREN][j])
-    into[CHILDREN] = children
-
-
-def size(tree: list) -> int:
-    return 1 + sum(map(size, tree[CHILDREN]))
-
-
-def add(wrapper: list | None, tree: list) -> list:
-    if wrapper is None:
-        return tree
-    merge(wrapper, tree, {}, [MAX_NODES - size(wrapper)])
-    return wrapper
-
-
-def constant(wrapper: list, pages: int) -> bool:
-    """Whether a wrapper's node is template: one text on nearly all of enough pages, and not one of a repetition."""
-    return len(wrapper[TEXT]) > 1 and not wrapper[REPEATED] and wrapper[PAGES] >= max(MIN_PAGES, MIN_SHARE * pages)
-
-
-def varies(wrapper: list) -> bool:
-    return wrapper[TEXT] == "*" or any(map(varies, wrapper[CHILDREN]))
-
-
-def extract(source: str | None, wrapper: list | None) -> str:
-    """The article's text of a page under its host's wrapper."""
+def extract(source: str | None, constant: frozenset[int] | None) -> str:
+    """The article's text of a page under its host's template, which is None where the host has none."""
     root = parse(source or "")
-    template: set[int] = set()
-    if wrapper is not None and wrapper[PAGES] >= MIN_PAGES and varies(wrapper):
-        of: dict[int, list] = {}
-        tree = fold(root, of)
-        fixed: set[int] = set()
-        _mark(wrapper, tree, wrapper[PAGES], fixed)
-        template = {k for k, v in of.items() if id(v) in fixed}
+    template = {node for node, key in places(root) if key in constant} if constant else set()
     whole = _blocks([root], template)
-    if template or not (articles := _articles(root)):
+    if constant is not None or not (articles := _articles(root)):
         return "\n\n".join(whole)
     # Without a template names may tell the article, but not if most of the text is elsewhere.
     named = _blocks(articles, template)
@@ -316,47 +209,29 @@ def _text(node: Node, blocks: list[list[str]], template: set[int], inside: bool)
                 blocks.append([])
 
 
-def _flat(wrapper: list) -> str:
-    return json.dumps(wrapper, separators=(",", ":"), ensure_ascii=False)
-
-
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, pages) of pages (host, html)."""
+def templates(pages: DataFrame, counted: DataFrame, total: int) -> DataFrame:
+    """(host, constant) of pages (host, html) and their hosts' numbers n: the digests of the template's texts. Hosts of
+    too few pages, and those whose pages have little but constant texts, aren't in it. A host's template has at most
+    1 / MIN_SHARE times the texts of its mean page."""
     on_workers(pages.sparkSession)
-    schema = "host string, salt int, wrapper string"
-
-    def out(held: dict[str, list], salt: int) -> pa.RecordBatch:
-        hosts = list(held)
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([salt] * len(hosts), pa.int32()), pa.array([_flat(held[h]) for h in hosts], pa.string())], names=["host", "salt", "wrapper"])
-
-    def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        salt, held = TaskContext.get().partitionId() % SALTS, {}
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[host] = add(held.get(host), fold(parse(source or ""), {}))
-                if len(held) > MAX_HOSTS:
-                    yield out(held, salt)
-                    held = {}
-        yield out(held, salt)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by host; partial wrappers are merged as they come."""
-        host, salt, own = None, 0, None
-        for batch in batches:
-            for h, s, w in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if own is not None and (h, s) != (host, salt):
-                    yield out({host: own}, salt)
-                    own = None
-                host, salt, own = h, s, add(own, json.loads(w))
-        if own is not None:
-            yield out({host: own}, salt)
-
-    partial = pages.select("host", "html").mapInArrow(induce, schema)
-    salted = partial.repartition("host", "salt").sortWithinPartitions("host", "salt").mapInArrow(join, schema)
-    whole = salted.withColumn("salt", F.lit(0)).repartition("host").sortWithinPartitions("host").mapInArrow(join, schema)
-    return whole.select("host", "wrapper")
+            for at in range(0, batch.num_rows, 512):
+                part, hosts, keys = batch.slice(at, 512), [], []
+                for host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    own = {key for _, key in places(parse(source or ""))}
+                    hosts += [host] * len(own)
+                    keys += own
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
+
+    texts = cut(pages.select("host", "html").mapInArrow(found, "host string, key bigint").groupBy("host", "key").agg(F.count("*").alias("n_with")), "texts")
+    often = join_by_key(texts.filter(F.col("n_with") >= MIN_PAGES), counted.withColumn("n_pages", F.col("n")), "host", "n", total)
+    fixed = often.filter(F.col("n_with") >= F.col("n_pages") * MIN_SHARE).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("constant"), F.sum("n_with").alias("n_fixed"))
+    sums = texts.groupBy("host").agg(F.sum("n_with").alias("n_texts")).join(counted, "host").filter(F.col("n") >= MIN_PAGES)
+    # What varies is content only if it is about as frequent as a page.
+    known = sums.join(fixed, "host", "left").filter(F.col("n_texts") - F.coalesce("n_fixed", F.lit(0)) >= F.col("n") * MIN_SHARE)
+    return known.select("host", F.coalesce("constant", F.array().cast("array<bigint>")).alias("constant"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -369,22 +244,16 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     on_workers(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), parts(F.col(url_col))[0].alias("host"))
     counted = rows.groupBy("host").agg(F.count("*").alias("n"))
-    known = cut(wrappers(rows).join(counted, "host"), "wrappers")
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = join_by_key(rows, known, "host", "n", total).select("page_id", "url", "html", "wrapper")
+    counted = cut(counted, "hosts")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = cut(counted.join(templates(rows, counted, total), "host", "left"), "templates")
+    joined = join_by_key(rows, known, "host", "n", total).select("page_id", "url", "html", "constant")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = []
-                for source, flat in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    if flat not in held:
-                        if len(held) > MAX_HOSTS:
-                            held.clear()
-                        held[flat] = json.loads(flat)
-                    texts.append(extract(source, held[flat]))
+                texts = [extract(source, None if keys is None else frozenset(keys)) for source, keys in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = rows.schema["page_id"].dataType.simpleString()

@@ -14,3 +14,11 @@ def test_an_article_card_does_not_replace_the_main_text(spark):
     assert got[3] == "long main text number 3 goes on and on\n\nsee 3"
     # Too few pages for a template: most of the text is outside of the article.
     assert "long main text number 0" in texts(spark, [page.format(0)])[0]
+
+
+def test_constant_nodes_among_equal_siblings_are_template(spark):
+    page = "<body><p>same notice</p><p>body {0} one</p><p>body {0} two</p><p>same end</p><div>menu</div><div>more {0}</div></body>"
+    got = texts(spark, [page.format(i) for i in range(8)])
+    assert got[5] == "body 5 one\n\nbody 5 two\n\nmore 5"
+    # Pages that are all alike have no template.
+    assert texts(spark, ["<body><p>a</p><p>b</p></body>"] * 8)[0] == "a\n\nb"

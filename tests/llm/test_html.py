@@ -22,3 +22,10 @@ def test_constant_nodes_among_equal_siblings_are_template(spark):
     assert got[5] == "body 5 one\n\nbody 5 two\n\nmore 5"
     # Pages that are all alike have no template.
     assert texts(spark, ["<body><p>a</p><p>b</p></body>"] * 8)[0] == "a\n\nb"
+
+
+def test_late_template_nodes_of_large_hosts_are_found(spark):
+    # Each page has 700 names of its own, so a wrapper of 2,000 nodes would be full after three pages.
+    page = lambda i: "<body>" + "".join(f"<x{'abcdefghij'[i]}{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}>t{i} {k}</x{'abcdefghij'[i]}{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}>" for k in range(700)) + ("<section><b>late line</b></section>" if i > 1 else "") + "</body>"
+    got = texts(spark, [page(i) for i in range(10)])
+    assert not any("late line" in t for t in got.values()) and "t7 699" in got[7]

@@ -424,6 +424,19 @@ def char_wb_ngrams(spark, d):
     return first_texts(spark, d).select("doc_id", listed(tx.char_terms(F.col("t"))).alias("terms"))
 
 
+# The same over whole texts; the SQL above reads 200 characters and stays, these are tested by brute force.
+
+
+@query("word_ngrams_whole")
+def word_ngrams_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(tx.word_terms(F.col("text")), "|").alias("terms"))
+
+
+@query("char_wb_ngrams_whole")
+def char_wb_ngrams_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", listed(tx.char_terms(F.col("text"))).alias("terms"))
+
+
 # Pair features
 
 GROUPS = {

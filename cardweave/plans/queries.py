@@ -255,6 +255,22 @@ def vocabulary_topk(spark, d):
     return tfidf.vocabulary(frequency(spark, d), 100).select("term", "ctf")
 
 
+def whole_frequency(spark, d) -> DataFrame:
+    """Of whole documents; the SQL above reads 60 characters of each and stays."""
+    texts = pairs.with_texts(fx.document_pairs(spark, d), fx.document_items(spark, d, whole=True))
+    return tfidf.document_frequency(tfidf.term_counts(tfidf.distinct_texts(texts), tx.word_terms))
+
+
+@query("document_frequency_whole")
+def document_frequency_whole(spark, d):
+    return whole_frequency(spark, d)
+
+
+@query("vocabulary_topk_whole")
+def vocabulary_topk_whole(spark, d):
+    return tfidf.vocabulary(whole_frequency(spark, d), 100).select("term", "ctf")
+
+
 @query("coverage_stats", f"{PAIRS} select category, count(*) as n, count(distinct id1) as n_id1, count(distinct id2) as n_id2, round(avg(target), 6) as positive from pairs join items on id = id1 group by category")
 def coverage_stats(spark, d):
     return ft_pairs(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("id1").alias("n_id1"), F.countDistinct("id2").alias("n_id2"), r6(F.avg("target")).alias("positive"))
@@ -492,6 +508,16 @@ def score_tfidf_wc(spark, d):
     return predict_scores(fx.document_pairs(spark, d), fx.document_items(spark, d), "tfidf_wc").select("id1", "id2", r6(F.col("predict")).alias("predict"))
 
 
+@query("score_tfidf_whole")
+def score_tfidf_whole(spark, d):
+    return predict_scores(fx.document_pairs(spark, d), fx.document_items(spark, d, whole=True), "tfidf").select("id1", "id2", r6(F.col("predict")).alias("predict"))
+
+
+@query("score_tfidf_wc_whole")
+def score_tfidf_wc_whole(spark, d):
+    return predict_scores(fx.document_pairs(spark, d), fx.document_items(spark, d, whole=True), "tfidf_wc").select("id1", "id2", r6(F.col("predict")).alias("predict"))
+
+
 @query("score_embed", f"with {EMBED} select id1, id2, round(list_sum(list_transform(range(1, 65), lambda i: x[i::int]::double * y[i::int]::double)), 4) as predict from p")
 def score_embed(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("key"), F.col("embedding").alias("vector"))

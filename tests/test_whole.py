@@ -1,5 +1,6 @@
 """Queries over whole texts and all rows against brute force on small tables."""
 
+import math
 import re
 from collections import Counter
 
@@ -42,3 +43,30 @@ def test_ngrams_of_whole_texts(spark, folder):
     for i, text in enumerate(TEXTS):
         assert words[i] == sorted(word_terms(text))
         assert chars[i] == Counter(char_terms(text))
+
+
+def cosines(terms, texts):
+    counts = [Counter(terms(t)) for t in texts]
+    df = Counter(k for c in counts for k in c)
+    vectors = []
+    for c in counts:
+        w = {k: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[k])) + 1) for k, n in c.items() if df[k] >= 2}
+        length = math.sqrt(sum(v * v for v in w.values())) or 1
+        vectors.append({k: v / length for k, v in w.items()})
+    return {(i, j): sum(v * vectors[j].get(k, 0) for k, v in vectors[i].items()) for i in range(len(texts)) for j in range(i + 1, len(texts))}
+
+
+def test_tfidf_of_whole_texts(spark, folder):
+    # A card's text is its name and, where the id isn't a multiple of 3, its source.
+    cards = [t + (" источник s" if i % 3 else "") for i, t in enumerate(TEXTS)]
+    counts = [Counter(word_terms(t)) for t in cards]
+    df, total = Counter(k for c in counts for k in c), sum(counts, Counter())
+    want = {k: (n, total[k]) for k, n in df.items() if n >= 2}
+    assert {r.term: (r.df, r.ctf) for r in queries.QUERIES["document_frequency_whole"](spark, folder).collect()} == want
+    top = sorted(want, key=lambda k: (-total[k], k))[:100]
+    assert {r.term for r in queries.QUERIES["vocabulary_topk_whole"](spark, folder).collect()} == set(top)
+    words, chars = cosines(word_terms, cards), cosines(char_terms, cards)
+    got = {(r.id1, r.id2): r.predict for r in queries.QUERIES["score_tfidf_whole"](spark, folder).collect()}
+    assert got == {k: pytest.approx(v, abs=2e-6) for k, v in words.items()}
+    got = {(r.id1, r.id2): r.predict for r in queries.QUERIES["score_tfidf_wc_whole"](spark, folder).collect()}
+    assert got == {k: pytest.approx(0.5 * v + 0.5 * chars[k], abs=2e-6) for k, v in words.items()}

@@ -177,6 +177,48 @@ def baseline_inner_pairs(spark, d):
     return pairs.inner_pairs(card_pairs(spark, d), items(spark, d).filter("id % 7 <> 0")).select("id1", "id2")
 
 
+# The same over all pairs and items; the SQL above drops ids by modulo and stays. Unknown ids are those of the data.
+
+
+def all_attached(spark, d) -> DataFrame:
+    return pairs.with_texts(card_pairs(spark, d), items(spark, d))
+
+
+@query("missing_text_count_all")
+def missing_text_count_all(spark, d):
+    return all_attached(spark, d).agg(F.count("*").alias("n"), F.sum(pairs.missing_text().cast("long")).alias("n_missing"))
+
+
+@query("zero_missing_scores_all")
+def zero_missing_scores_all(spark, d):
+    return all_attached(spark, d).select("id1", "id2", F.when(pairs.missing_text(), 0.0).otherwise((F.col("id1") % 10).cast("double")).alias("score"))
+
+
+@query("attach_texts_all")
+def attach_texts_all(spark, d):
+    return all_attached(spark, d).select("id1", "id2", "text1", "text2")
+
+
+@query("pair_category_coalesce_all")
+def pair_category_coalesce_all(spark, d):
+    return all_attached(spark, d).select("id1", "id2", "category")
+
+
+@query("items_semi_join_all")
+def items_semi_join_all(spark, d):
+    return pairs.used_items(items(spark, d), card_pairs(spark, d)).select("id", "name")
+
+
+@query("pairs_both_sides_semi_all")
+def pairs_both_sides_semi_all(spark, d):
+    return pairs.both_sides_in(card_pairs(spark, d), items(spark, d)).select("id1", "id2")
+
+
+@query("baseline_inner_pairs_all")
+def baseline_inner_pairs_all(spark, d):
+    return pairs.inner_pairs(card_pairs(spark, d), items(spark, d)).select("id1", "id2")
+
+
 @query("route_models_left_join", f"""{ITEMS}, m as (select distinct category, length(category)::double as weight from items where length(category) % 2 = 0 union all select '__all__', -1)
 select i.id, case when a.category is null then '__all__' else i.category end as model, coalesce(a.weight, b.weight) as weight
 from items i left join m a on a.category = i.category join m b on b.category = '__all__'""")

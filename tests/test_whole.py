@@ -70,3 +70,23 @@ def test_tfidf_of_whole_texts(spark, folder):
     assert got == {k: pytest.approx(v, abs=2e-6) for k, v in words.items()}
     got = {(r.id1, r.id2): r.predict for r in queries.QUERIES["score_tfidf_wc_whole"](spark, folder).collect()}
     assert got == {k: pytest.approx(0.5 * v + 0.5 * chars[k], abs=2e-6) for k, v in words.items()}
+
+
+def test_joins_read_all_pairs_and_items(spark, monkeypatch):
+    # Ids that the modulo filters drop: 7 and 21 of items, pairs whose id1 isn't a multiple of 11; 99 is unknown.
+    cards = spark.createDataFrame([(i, f"n{i}", None, "x", i) for i in (1, 3, 7, 11, 21)] + [(5, None, None, "y", 5)], "id bigint, name string, attributes string, category string, row_idx bigint")
+    wanted = [(1, 3), (7, 11), (21, 99), (99, 5), (3, 7)]
+    asked = spark.createDataFrame([(a, b, 1, i) for i, (a, b) in enumerate(wanted)], "id1 bigint, id2 bigint, target int, row_idx bigint")
+    monkeypatch.setattr(queries, "items", lambda spark, d: cards)
+    monkeypatch.setattr(queries, "card_pairs", lambda spark, d: asked)
+    run = lambda name: {tuple(r) for r in queries.QUERIES[name](spark, "").collect()}
+    name = {1: "n1", 3: "n3", 7: "n7", 11: "n11", 21: "n21", 5: None}
+    text = lambda i: name.get(i) or ""
+    kind = lambda i: {5: "y", 99: None}.get(i, "x")
+    known = {(a, b) for a, b in wanted if 99 not in (a, b)}
+    assert run("items_semi_join_all") == set(name.items())
+    assert run("pairs_both_sides_semi_all") == run("baseline_inner_pairs_all") == known
+    assert run("attach_texts_all") == {(a, b, text(a), text(b)) for a, b in wanted}
+    assert run("pair_category_coalesce_all") == {(a, b, kind(a) or kind(b)) for a, b in wanted}
+    assert run("missing_text_count_all") == {(5, 2)}
+    assert run("zero_missing_scores_all") == {(a, b, float(a % 10) if text(a) and text(b) else 0.0) for a, b in wanted}

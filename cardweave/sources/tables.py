@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,14 +26,13 @@ def load_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Adds row_idx: rows by file name, then by position in the file. The number is sparse but keeps that order."""
-    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    files = rows.select(F.col("_metadata.file_path").alias("f")).distinct()
-    if files.count() == 1:
-        return rows.withColumn("row_idx", F.col("_metadata.row_index"))
-    order = sorted(r.f for r in files.collect())  # file names only
-    index = F.create_map(*[x for i, f in enumerate(order) for x in (F.lit(f), F.lit(i))])
-    return rows.withColumn("row_idx", index[at["file_path"]].cast("bigint") * F.lit(1 << 40) + at["row_index"])
+    """Adds row_idx: rows by file name, then by position in the file. The number is sparse but keeps that order.
+
+    Files are numbered in a table of their own, which a join brings to the rows; Catalyst picks it by size."""
+    at = rows.metadataColumn("_metadata")
+    files = rows.select(at["file_path"].alias("__file")).distinct().withColumn("__number", F.row_number().over(W.orderBy("__file")) - 1)
+    found = rows.withColumns({"__path": at["file_path"], "__at": at["row_index"]}).join(files, F.col("__path") == F.col("__file"))
+    return found.withColumn("row_idx", F.col("__number").cast("bigint") * F.lit(1 << 40) + F.col("__at")).drop("__path", "__at", "__number", "__file")
 
 
 def blocks(pairs: DataFrame, items: DataFrame, size: int) -> DataFrame:
@@ -58,7 +59,9 @@ def read_features(spark: SparkSession, path: str, columns: list[str], rows: int)
     """A feature cache, or None if it has other columns or another number of rows."""
     try:
         found = spark.read.parquet(path)
-    except Exception:  # no such cache
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return found if set(columns) <= set(found.columns) and found.count() == rows else None
 

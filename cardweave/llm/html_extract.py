@@ -1,15 +1,18 @@
 """Main text of web pages by wrapper induction.
 
-A text's place is the path of names from the root to its node. Over all pages of a host, each text at each place is
-counted by the pages that have it, exactly, in a grouped aggregate: siblings aren't folded, no wrapper is capped, and
-the order of rows doesn't matter. Texts on nearly all pages are template, the others are content; menus, forms, adverts
-and the like vary too, and are told by their names. Where there is a template, names of articles choose nothing.
+Trees of a host's pages are aligned by place: the path of names from the root to a node. Over all pages of a host, each
+text at each place is counted by the pages that have it, exactly, in a grouped aggregate: siblings aren't folded, no
+wrapper is capped, and the order of rows doesn't matter. (This takes the place of simple tree matching, whose time is
+quadratic in siblings and whose merged wrapper depends on the order of pages.) Texts on nearly all pages are template,
+the others are varying slots, that is content; menus, forms, adverts and the like vary too, and are told by their
+names. Where articles hold most of a host's varying text, the slots outside of them aren't content.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -23,26 +26,39 @@ from .url_filter import parts
 #: A text at its place is template if so many pages of its host, and this share of them, have it.
 MIN_PAGES, MIN_SHARE = 5, 0.8
 
-#: Fixed values of HTML: elements without content, with raw content, that begin a block, that an element's start ends.
+#: Fixed values of HTML: elements without content, with raw content, that begin a block, that may stand in the head,
+#: and for each element that ends others by its start, which ones, and which stop it.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea noscript template iframe svg math select object audio video canvas".split())
+RAW = frozenset("script style textarea title iframe".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
-
-#: Names of what isn't the article: elements, roles, and words of classes and ids.
-DROPPED = frozenset("head nav footer aside form button dialog menu input label title".split())
+SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select", "datalist")}
+P_SCOPES = ("p", "td", "th", "li", "article", "div", "section", "body", "button")
+#: The families above that look for the nearest node of an element's name.
+WATCHED = {t: [f for f in (*ENDS, "p") if t in (P_SCOPES if f == "p" else ENDS[f] + SCOPES[f])] for t in {*P_SCOPES, *(x for f in ENDS for x in ENDS[f] + SCOPES[f])}}
+
+#: Names of what isn't the article: elements, roles, and words of classes and ids. Outside of articles one of WORDS is
+#: enough. Within them, and for WEAK ones, which also name other things, all words of a name must be of WORDS, WEAK or
+#: FILLERS; HEADERS there are the article's own.
+DROPPED = frozenset("head nav footer aside form button dialog menu input svg select template datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo "
-    "promoted recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe "
-    "subscription teaser toolbar widget widgets".split()
+    "advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
+    "masthead menu modal nav navbar navigation newsletter pagination paywall popup promo promoted recommended related "
+    "sidebar social sponsor sponsored toolbar widget widgets".split()
+)
+HEADERS = frozenset("header banner".split())
+WEAK = HEADERS | frozenset("ad ads adv notice notices reply replies respond share sharing signup subscribe subscription teaser".split())
+FILLERS = frozenset(
+    "area bar block bottom box button buttons container count form global icons inline inner item items left link links list main "
+    "media page panel reader readers right section site slot sticky thread tools top unit user wrap wrapper".split()
 )
-ARTICLE_WORDS = frozenset("article articlebody article-body post post-content post-body entry entry-content story story-body content main-content maincontent".split())
+OWN_HEADERS = frozenset(f"{a}{mark}{b}" for a in ("article", "post", "entry", "story") for b in ("header", "headline") for mark in ("-", "_", "__"))
+ARTICLE_WORDS = OWN_HEADERS | frozenset("article articlebody article-body post post-content post-body entry entry-content story story-body content main-content maincontent".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -50,37 +66,47 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("kind", "tag", "name", "nodes", "parent")
+    __slots__ = ("kind", "tag", "name", "nodes", "parent", "near")
 
     def __init__(self, tag: str, name: str, kind: str, parent: Node | None):
         self.tag, self.name, self.kind, self.parent = tag, name, kind, parent
         self.nodes: list[Node | str] = []
+        #: By family of WATCHED the nearest node up from here, this one included.
+        self.near: dict[str, Node] = parent.near if parent else {}
+        if tag in WATCHED:
+            self.near = {**self.near, **dict.fromkeys(WATCHED[tag], self)}
 
 
 _named: dict[tuple[str, str], tuple[str, str]] = {}
 
 
+def _kind(tag: str, found: dict[str, str]) -> str:
+    """dropped: no content anywhere; outside: none unless within an article; article; or nothing."""
+    names = (found.get("class", "") + " " + found.get("id", "")).lower().split()
+    words = [set(re.split(r"[-_:]+", n)) - {""} for n in names]
+    role = found.get("role", "").lower()
+    if tag in DROPPED or role in ROLES or "hidden" in found or found.get("aria-hidden") == "true":
+        return "dropped"
+    if tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or ARTICLE_WORDS & set(names):
+        return "article"
+    if tag not in ("html", "body"):
+        if any(w & ((WORDS | WEAK) - HEADERS) and w <= WORDS | WEAK | FILLERS for w in words):
+            return "dropped"
+        if tag == "header" or any(w & WORDS or (w & WEAK and w <= WORDS | WEAK | FILLERS) for w in words):
+            return "outside"
+    return ""
+
+
 def _describe(tag: str, attributes: str) -> tuple[str, str]:
-    """A node's name for alignment, and its kind: dropped, article, or nothing."""
+    """A node's name for alignment, and its kind."""
     if not attributes.strip(" /"):
-        return tag, "dropped" if tag in DROPPED else "article" if tag in ("article", "main") else "header" if tag == "header" else ""
+        return tag, _kind(tag, {})
     known = _named.get((tag, attributes))
     if known is None:
-        found = {}
+        found: dict[str, str] = {}
         for m in ATTRIBUTE.finditer(attributes):
             found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
-        names = (found.get("class", "") + " " + found.get("id", "")).lower().split()
-        words = {w for n in names for w in (n, *re.split(r"[-_:]+", n))}
-        role = found.get("role", "").lower()
-        kind = ""
-        article = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or bool(ARTICLE_WORDS & set(names))
-        if tag in DROPPED or role in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or (WORDS & words and tag not in ("html", "body", "main")):
-            kind = "dropped"
-        elif article:
-            kind = "article"
-        elif tag == "header":
-            kind = "header"
-        known = f"{tag}.{' '.join(sorted(re.sub(r'[0-9]+', '0', n) for n in found.get('class', '').lower().split()))}", kind
+        known = f"{tag}.{' '.join(sorted(re.sub(r'[0-9]+', '0', n) for n in found.get('class', '').lower().split()))}", _kind(tag, found)
         if len(_named) > 50_000:
             _named.clear()
         if len(attributes) < 300:
@@ -89,15 +115,26 @@ def _describe(tag: str, attributes: str) -> tuple[str, str]:
 
 
 def parse(source: str) -> Node:
-    """The tree of a page; never fails: what is cut off or misnested is closed."""
+    """The tree of a page; never fails: what is cut off or misnested is closed. Each tag takes constant time, but for
+    the nodes that it closes."""
     root = at = Node("#root", "#root", "", None)
-    pos = 0
-    for_raw = None
+    pos, still_open = 0, Counter()
+
+    def close(node: Node) -> Node:
+        nonlocal at
+        while at is not node:
+            still_open[at.tag] -= 1
+            at = at.parent
+        still_open[at.tag] -= 1
+        return at.parent
+
     while True:
         m = TAG.search(source, pos)
         text = source[pos : m.start()] if m else source[pos:]
-        if text and for_raw is None:
+        if text:
             # A tag's beginning that the page ends in isn't text; TAG takes it.
+            if at.tag == "head" and not text.isspace():
+                at = close(at)
             at.nodes.append(text)
         if not m:
             return root
@@ -107,26 +144,20 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            up: Node | None = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            if still_open[tag] > 0:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at = close(up)
             continue
-        if tag in BLOCKS:
-            up = at
-            while up.parent is not None and up.tag not in ("p", "td", "th", "li", "article", "div", "section", "body", "button"):
-                up = up.parent
-            if up.tag == "p":
-                at = up.parent
-        if tag in ENDS:
-            up = at
-            while up.parent is not None and up.tag not in ENDS[tag] and up.tag not in SCOPES.get(tag, ()):
-                up = up.parent
-            if up.tag in ENDS[tag]:
-                at = up.parent
-                if tag == "tr" and up.tag in ("td", "th") and at.tag == "tr":
-                    at = at.parent
+        if at.tag == "head" and tag not in IN_HEAD:
+            at = close(at)
+        if tag in BLOCKS and (up := at.near.get("p")) is not None and up.tag == "p":
+            at = close(up)
+        if tag in ENDS and (up := at.near.get(tag)) is not None and up.tag in ENDS[tag]:
+            at = close(up)
+            if tag == "tr" and up.tag in ("td", "th") and at.tag == "tr":
+                at = close(at)
         attributes = m[3] or m[6] or ""
         if tag in RAW:
             end = RAW_END[tag].search(source, pos)
@@ -137,108 +168,120 @@ def parse(source: str) -> Node:
         at.nodes.append(node)
         if tag not in VOID and not attributes.endswith("/"):
             at = node
+            still_open[tag] += 1
 
 
-def places(root: Node) -> Iterator[tuple[int, int]]:
-    """(id of the node, digest of its path and own text) of nodes with text outside of what is dropped."""
-    open_nodes = [(root, b"")]
+def places(root: Node) -> Iterator[tuple[int, int, int, bool]]:
+    """(id of the node, digest of its path and own text, length of the text, whether an article has it) of nodes with
+    text that may be content."""
+    open_nodes = [(root, b"", False)]
     while open_nodes:
-        node, above = open_nodes.pop()
+        node, above, inside = open_nodes.pop()
+        inside = inside or node.kind == "article"
         path = blake2b(above + node.name.encode("utf-8", "replace"), digest_size=8).digest()
         own = " ".join(" ".join(x for x in node.nodes if isinstance(x, str)).split())
         if own:
-            yield id(node), int.from_bytes(blake2b(own.encode("utf-8", "replace"), digest_size=8, key=path).digest(), "little", signed=True)
-        open_nodes += [(x, path) for x in node.nodes if isinstance(x, Node) and x.kind != "dropped"]
+            yield id(node), int.from_bytes(blake2b(own.encode("utf-8", "replace"), digest_size=8, key=path).digest(), "little", signed=True), len(own), inside
+        open_nodes += [(x, path, inside) for x in node.nodes if isinstance(x, Node) and _may(x, inside)]
+
 
+def _may(node: Node, inside: bool) -> bool:
+    return node.kind != "dropped" and (inside or node.kind != "outside")
 
-def extract(source: str | None, constant: frozenset[int] | None) -> str:
-    """The article's text of a page under its host's template, which is None where the host has none."""
+
+def extract(source: str | None, constant: frozenset[int] | None, focus: bool = False) -> str:
+    """The article's text of a page under its host's template, which is None where the host has none; focus: whether
+    articles hold most of the host's varying text."""
     root = parse(source or "")
-    template = {node for node, key in places(root) if key in constant} if constant else set()
-    whole = _blocks([root], template)
-    if constant is not None or not (articles := _articles(root)):
+    template = {node for node, key, *_ in places(root) if key in constant} if constant else set()
+    whole = _blocks(root, template)
+    if constant is not None and not focus:
         return "\n\n".join(whole)
-    # Without a template names may tell the article, but not if most of the text is elsewhere.
-    named = _blocks(articles, template)
-    return "\n\n".join(named if 2 * sum(map(len, named)) >= sum(map(len, whole)) else whole)
-
-
-def _blocks(tops: list[Node], template: set[int]) -> list[str]:
-    out: list[str] = []
-    for top in tops:
-        blocks: list[list[str]] = [[]]
-        _text(top, blocks, template, top.kind == "article")
-        out += [t for b in blocks if (t := " ".join(html.unescape("".join(b)).split()))]
-    return out
-
-
-def _mark(wrapper: list, tree: list, pages: int, fixed: set[int]) -> None:
-    if constant(wrapper, pages) and tree[TEXT] == wrapper[TEXT]:
-        fixed.add(id(tree))
-    for i, j in aligned(wrapper, tree):
-        if i is not None and j is not None:
-            _mark(wrapper[CHILDREN][i], tree[CHILDREN][j], pages, fixed)
-
-
-def _articles(node: Node) -> list[Node]:
-    """The topmost article nodes outside of what is dropped; an article within main counts for main."""
-    found = []
-    for child in node.nodes:
-        if isinstance(child, Node) and child.kind not in ("dropped", "header"):
-            if child.kind == "article":
-                found += (child.tag != "article" and _articles(child)) or [child]
-            else:
-                found += _articles(child)
-    return found
-
-
-def _text(node: Node, blocks: list[list[str]], template: set[int], inside: bool) -> None:
-    """Appends the node's text to blocks, a list of the strings of each block."""
-    for child in node.nodes:
-        if isinstance(child, str):
-            if id(node) not in template:
-                blocks[-1].append(child)
-        elif child.tag == "br" or child.tag == "wbr":
-            blocks[-1].append("\n" if child.tag == "br" else "")
-        elif child.kind != "dropped" and (inside or child.kind != "header"):
-            block = child.tag in BLOCKS
-            if block:
-                blocks.append([])
-            _text(child, blocks, template, inside or child.kind == "article")
-            if block:
+    named = [t for top in _articles(root) for t in _blocks(top, template)]
+    # Without a template names may tell the article, but not if most of the page's text is elsewhere.
+    least = 0 if constant is not None else sum(map(len, whole))
+    return "\n\n".join(named if named and 2 * sum(map(len, named)) >= least else whole)
+
+
+def _articles(root: Node) -> list[Node]:
+    """The topmost article nodes, in page order; of a main with articles in it, these."""
+    found, tops = [], []
+    open_nodes = [(root, None)]
+    while open_nodes:
+        node, top = open_nodes.pop()
+        if node.kind == "article":
+            if top is None or top.tag != "article" and node.tag == "article":
+                found.append(node)
+                tops.append(top)
+            top = node if top is None or top.tag != "article" else top
+        open_nodes += [(x, top) for x in reversed(node.nodes) if isinstance(x, Node) and _may(x, top is not None)]
+    outer = {id(t) for t in tops if t is not None}
+    return [n for n in found if id(n) not in outer]
+
+
+def _blocks(top: Node, template: set[int]) -> list[str]:
+    """The texts of top's blocks."""
+    blocks: list[list[str]] = [[]]
+    open_nodes: list[tuple[Node, Iterator[Node | str], bool]] = [(top, iter(top.nodes), top.kind == "article")]
+    while open_nodes:
+        node, rest, inside = open_nodes[-1]
+        for child in rest:
+            if isinstance(child, str):
+                if id(node) not in template:
+                    blocks[-1].append(child)
+            elif child.tag in ("br", "wbr"):
+                blocks[-1].append("\n" if child.tag == "br" else "")
+            elif _may(child, inside):
+                if child.tag in BLOCKS:
+                    blocks.append([])
+                open_nodes.append((child, iter(child.nodes), inside or child.kind == "article"))
+                break
+        else:
+            open_nodes.pop()
+            if node.tag in BLOCKS:
                 blocks.append([])
+    return [t for b in blocks if (t := " ".join(html.unescape("".join(b)).split()))]
 
 
 def templates(pages: DataFrame, counted: DataFrame, total: int) -> DataFrame:
-    """(host, constant) of pages (host, html) and their hosts' numbers n: the digests of the template's texts. Hosts of
-    too few pages, and those whose pages have little but constant texts, aren't in it. A host's template has at most
-    1 / MIN_SHARE times the texts of its mean page."""
+    """(host, constant, focus) of pages (host, html) and their hosts' numbers n: the digests of the template's texts, and
+    whether articles hold most of the varying text. Hosts of too few pages, and those whose pages have little but
+    constant texts, aren't in it. A host's template has at most 1 / MIN_SHARE times the texts of its mean page."""
     on_workers(pages.sparkSession)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part, hosts, keys = batch.slice(at, 512), [], []
+                part, hosts, keys, inner, outer = batch.slice(at, 512), [], [], [], []
                 for host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = {key for _, key in places(parse(source or ""))}
+                    own: dict[int, list[int]] = {}
+                    for _, key, size, inside in places(parse(source or "")):
+                        own.setdefault(key, [0, 0])[not inside] += size
                     hosts += [host] * len(own)
                     keys += own
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
+                    inner += [x for x, _ in own.values()]
+                    outer += [x for _, x in own.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (keys, inner, outer))], names=["host", "key", "inner", "outer"])
 
-    texts = cut(pages.select("host", "html").mapInArrow(found, "host string, key bigint").groupBy("host", "key").agg(F.count("*").alias("n_with")), "texts")
+    sums = [F.sum(c).alias(c) for c in ("inner", "outer")]
+    texts = pages.select("host", "html").mapInArrow(found, "host string, key bigint, inner bigint, outer bigint")
+    texts = cut(texts.groupBy("host", "key").agg(F.count("*").alias("n_with"), *sums), "texts")
     often = join_by_key(texts.filter(F.col("n_with") >= MIN_PAGES), counted.withColumn("n_pages", F.col("n")), "host", "n", total)
-    fixed = often.filter(F.col("n_with") >= F.col("n_pages") * MIN_SHARE).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("constant"), F.sum("n_with").alias("n_fixed"))
-    sums = texts.groupBy("host").agg(F.sum("n_with").alias("n_texts")).join(counted, "host").filter(F.col("n") >= MIN_PAGES)
+    fixed = often.filter(F.col("n_with") >= F.col("n_pages") * MIN_SHARE).groupBy("host")
+    fixed = fixed.agg(F.sort_array(F.collect_list("key")).alias("constant"), F.sum("n_with").alias("n_fixed"), F.sum("inner").alias("inner_fixed"), F.sum("outer").alias("outer_fixed"))
+    sums = texts.groupBy("host").agg(F.sum("n_with").alias("n_texts"), *sums).join(counted, "host").filter(F.col("n") >= MIN_PAGES)
     # What varies is content only if it is about as frequent as a page.
-    known = sums.join(fixed, "host", "left").filter(F.col("n_texts") - F.coalesce("n_fixed", F.lit(0)) >= F.col("n") * MIN_SHARE)
-    return known.select("host", F.coalesce("constant", F.array().cast("array<bigint>")).alias("constant"))
+    none = {c: F.coalesce(c, F.lit(0)) for c in ("n_fixed", "inner_fixed", "outer_fixed")}
+    known = sums.join(fixed, "host", "left").withColumns(none).filter(F.col("n_texts") - F.col("n_fixed") >= F.col("n") * MIN_SHARE)
+    focus = F.col("inner") - F.col("inner_fixed") >= F.col("outer") - F.col("outer_fixed")
+    return known.select("host", F.coalesce("constant", F.array().cast("array<bigint>")).alias("constant"), focus.alias("focus"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    Whole pages; a null or empty html has the text "". Pages with a null url, or without a host in it, share one
-    wrapper. A host with fewer than MIN_PAGES pages has no template and is read by names alone. Repeated rows get
+    Whole pages of any depth; a null or empty html has the text "". Pages with a null url, or without a host in it,
+    share one template. A host with fewer than MIN_PAGES pages has none and is read by names alone. Repeated rows get
     equal rows, an empty table none; other columns are ignored.
     """
     on_workers(pages.sparkSession)
@@ -247,13 +290,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     counted = cut(counted, "hosts")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     known = cut(counted.join(templates(rows, counted, total), "host", "left"), "templates")
-    joined = join_by_key(rows, known, "host", "n", total).select("page_id", "url", "html", "constant")
+    joined = join_by_key(rows, known, "host", "n", total).select("page_id", "url", "html", "constant", "focus")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [extract(source, None if keys is None else frozenset(keys)) for source, keys in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                asked = zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
+                texts = [extract(source, None if keys is None else frozenset(keys), bool(focus)) for source, keys, focus in asked]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = rows.schema["page_id"].dataType.simpleString()

@@ -1,22 +1,25 @@
 """BPE encoding by per-prefix dynamic programming, and decoding.
 
-A suffix automaton over the vocabulary gives every token that ends at each position of a word. For every prefix the
-one last token is stored that is compatible with the last token of the prefix before it; back-pointers from the end
-then give exactly the tokens that merging by rank gives. Two tokens are compatible when no merge across their border
-comes before the merges that build them.
+An automaton over the vocabulary gives, for every prefix of a word, the tokens that are its suffixes (it is Aho and
+Corasick's: its states are the vocabulary's prefixes; a suffix automaton's are all substrings, with the same matches).
+For every prefix the one last token is stored that is compatible with the last token of the prefix before it;
+back-pointers from the end then give exactly the tokens that merging by rank gives. Two tokens are compatible when no
+merge across their border comes before the merges that build them.
 
 The tokenizer is a file of the tokenizers library: NFC, white space, lower case; a split into contractions, letter
-runs, single digits and symbol runs; byte-level BPE with word ends. Its path is a parameter.
+runs, single digits and symbol runs; byte-level BPE with word ends. Its path is a parameter; a file that says otherwise
+is refused.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
+from collections import deque
 from collections.abc import Callable
 from functools import cache
 
-import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
@@ -28,11 +31,19 @@ from .common import map_rows
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Fixed value: the split of the tokenizer file, with white space spelled out.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
-#: White space for str.split() that isn't white space for the tokenizer.
-SEPARATORS = regex.compile("[\x1c-\x1f]")
-#: Words and runs that a worker remembers; beyond that it starts anew.
-REMEMBERED = 100_000
-END = "Ā"
+#: Words, pairs and steps that a worker remembers, twice: the current ones and those before. Longer words aren't.
+REMEMBERED, LONGEST = 200_000, 40
+#: The symbol after the bytes of a word.
+END = 256
+
+#: What the file must say, so that the code below does the same.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 
 
 def byte_symbols() -> dict[str, int]:
@@ -42,12 +53,78 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check(spec: dict) -> None:
+    """ValueError for a tokenizer that this encoder isn't made for."""
+    said = {
+        "normalizer": (spec["normalizer"] or {}).get("normalizers"), "pre_tokenizer": (spec["pre_tokenizer"] or {}).get("pretokenizers"),
+        "decoder": spec["decoder"], "model": {k: spec["model"].get(k) for k in MODEL}, "added_tokens": [{k: t[k] for k in ADDED} for t in spec["added_tokens"]],
+    }
+    known = {"normalizer": NORMALIZER, "pre_tokenizer": PRE_TOKENIZER, "decoder": None, "model": MODEL, "added_tokens": [ADDED] * len(spec["added_tokens"])}
+    for part, value in known.items():
+        if said[part] != value:
+            raise ValueError(f"the tokenizer file's {part} isn't one that is known here: {said[part]}")
+
+
+class Memory(dict):
+    """What of() gave, for the REMEMBERED latest keys at least, and twice as many at most."""
+
+    def __init__(self, of: Callable):
+        super().__init__()
+        self.of, self.before = of, {}
+
+    def __missing__(self, key):
+        found = self.before.get(key)
+        if found is None:
+            found = self.of(key)
+            if type(key) is str and len(key) > LONGEST:
+                return found
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+class Automaton:
+    """The words of a set that end at each place of a text, longest first."""
+
+    def __init__(self, words: dict[tuple[int, ...], int]):
+        edges, own = [{}], [None]
+        for word, value in words.items():
+            at = 0
+            for c in word:
+                if c not in edges[at]:
+                    edges[at][c] = len(edges)
+                    edges.append({})
+                    own.append(None)
+                at = edges[at][c]
+            own[at] = (value, len(word))
+        self.edges, self.shorter = edges, [0] * len(edges)
+        found: list[tuple[tuple[int, int], ...]] = [()] * len(edges)
+        todo = deque([0])
+        while todo:
+            at = todo.popleft()
+            for c, to in edges[at].items():
+                if at:
+                    self.shorter[to] = self.follow(self.shorter[at], c)
+                found[to] = ((own[to],) if own[to] else ()) + found[self.shorter[to]]
+                todo.append(to)
+        #: state << 9 | symbol: the next state, times 512, and its matches (value, length).
+        self.next = Memory(lambda key: ((to := self.follow(key >> 9, key & 511)) << 9, found[to]))
+
+    def follow(self, at: int, c: int) -> int:
+        while at and c not in self.edges[at]:
+            at = self.shorter[at]
+        return self.edges[at].get(c, 0)
+
+
 class WordBpe:
     """A word-level encoder over a vocabulary and its merges."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -61,29 +138,24 @@ class WordBpe:
             left, right = (self.vocab[x] for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.rank.setdefault((left, right), r)
             made.setdefault(self.vocab[self.symbols[left] + self.symbols[right]], (left, right, r))
-        self.made = made
+        self.made, self.never = made, len(self.rank)
 
-        bytes_of, self.automaton = byte_symbols(), ahocorasick.Automaton()
-        never = len(self.rank)
-        self.first: dict[int, list] = {}
-        self.last: dict[int, list] = {}
+        bytes_of, words = byte_symbols(), {}
         for text, token in self.vocab.items():
             ends = bool(self.suffix) and text.endswith(self.suffix) and text != self.suffix
             raw = text[: len(text) - len(self.suffix)] if ends else text
-            if not all(c in bytes_of for c in raw):
-                continue
-            self.first[token], self.last[token] = self._edge(token, 0, never), self._edge(token, 1, never)
-            key = "".join(chr(bytes_of[c]) for c in raw) + END * ends
-            self.automaton.add_word(key, (token, len(key)))
-        self.automaton.make_automaton()
-        self.fits: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[str, tuple[bytes, str]] = {}
-
-    def _edge(self, token: int, side: int, never: int) -> list[tuple[int, int]]:
+            if all(c in bytes_of for c in raw):
+                words[(*(bytes_of[c] for c in raw), *[END] * ends)] = token
+        self.automaton = Automaton(words)
+        self.fits = Memory(lambda pair: self.compatible(pair >> 20, pair & (1 << 20) - 1))
+        self.words = Memory(lambda word: array("I", self.encode_word(word.encode("utf-8"))).tobytes())
+        self.bytes_of, self.path = bytes_of, path
+        self.assigned: set[str] = set()
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at that side of token while it is built, first to last, each with the rank of the merge that
         takes it up."""
-        edge, until = [], never
+        edge, until = [], self.never
         while True:
             edge.append((token, until))
             if token not in self.made:
@@ -95,7 +167,7 @@ class WordBpe:
         """Whether left and right, side by side, stay as they are: at each moment while they are built, no merge of
         the two tokens at the border ranks before the next merges of these; of equal ranks the one on the left goes
         first."""
-        a, b, rank = self.last[left], self.first[right], self.rank
+        a, b, rank = self._edge(left, 1), self._edge(right, 0), self.rank
         i = j = 0
         while True:
             (x, x_until), (y, y_until) = a[i], b[j]
@@ -109,79 +181,52 @@ class WordBpe:
             else:
                 j += 1
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    def encode_word(self, word: bytes) -> list[int]:
         """The ids of one word of the split."""
-        text = word.encode("utf-8").decode("latin-1") + END * bool(self.suffix)
-        last: list[tuple[int, int] | None] = [None] * (len(text) + 1)
-        fits = self.fits
-        for end, (token, n) in self.automaton.iter(text):
-            at = end + 1
-            if last[at] is not None:
-                continue
-            if n < at:
-                before = last[at - n]
-                if before is None:
-                    continue
-                pair = before[0] << 20 | token
-                good = fits.get(pair)
-                if good is None:
-                    if len(fits) > 2 * REMEMBERED:
-                        fits.clear()
-                    good = fits[pair] = self.compatible(before[0], token)
-                if not good:
-                    continue
-            last[at] = (token, n)
-        ids, at = [], len(text)
+        symbols: list[int] = [*word, *[END] * bool(self.suffix)]
+        #: Of each prefix its last token, or -1, and the length of that token.
+        last, length = [-1] * (len(symbols) + 1), [0] * (len(symbols) + 1)
+        state, at, step, fits = 0, 0, self.automaton.next, self.fits
+        for c in symbols:
+            at += 1
+            state, matches = step[state | c]
+            for token, n in matches:
+                if n == at or ((before := last[at - n]) >= 0 and fits[before << 20 | token]):
+                    last[at], length[at] = token, n
+                    break
+        ids, at = [], len(symbols)
         while at:
-            token, n = last[at]
-            ids.append(token)
-            at -= n
-        return tuple(ids[::-1])
-
-    def _run(self, run: str) -> tuple[bytes, str]:
-        """Ids, packed, and symbols of a run without white space, remembered."""
-        ids: list[int] = []
-        for word in self.split(run):
-            found = self.words.get(word)
-            if found is None:
-                if len(self.words) > REMEMBERED:
-                    self.words.clear()
-                found = self.encode_word(word)
-                if len(word) < 40:
-                    self.words[word] = found
-            ids += found
-        done = np.array(ids, "<u4").tobytes(), " ".join(map(self.symbols.__getitem__, ids))
-        if len(run) < 40:
-            if len(self.runs) > REMEMBERED:
-                self.runs.clear()
-            self.runs[run] = done
-        return done
-
-    def _plain(self, text: str, packed: list[bytes], shown: list[str]) -> None:
+            ids.append(last[at])
+            at -= length[at]
+        return ids[::-1]
+
+    def _plain(self, text: str) -> bytes:
+        if not text.isascii() and (new := set(text) - self.assigned):
+            if any(unicodedata.category(c) == "Cn" for c in new):
+                return self._foreign(text)
+            self.assigned |= new
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Lower case goes character by character, without the final form of sigma.
-        text = text.replace("Σ", "σ").lower()
-        runs = regex.split(f"[{WHITE}]+", text) if SEPARATORS.search(text) else text.split()
-        known = self.runs.get
-        for run in runs:
-            a, b = known(run) or self._run(run)
-            packed.append(a)
-            if b:
-                shown.append(b)
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and their decoded text: symbols joined by spaces."""
-        packed: list[bytes] = []
-        shown: list[str] = []
-        at = 0
+        return b"".join(map(self.words.__getitem__, self.split(text.replace("\u03a3", "\u03c3").lower())))
+
+    def _foreign(self, text: str) -> bytes:
+        """Of a text with characters that this Python's Unicode lacks, the words as the library splits it: what it and
+        the modules here take for letters and their lower case differs there."""
+        import tokenizers
+
+        own = tokenizers.Tokenizer.from_file(self.path)
+        words = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))
+        return b"".join(array("I", self.encode_word(bytes(map(self.bytes_of.__getitem__, w)))).tobytes() for w, _ in words)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        packed, at = [], 0
         for found in self.special.finditer(text) if self.special else ():
-            self._plain(text[at : found.start()], packed, shown)
-            packed.append(np.array([self.added[found[0]]], "<u4").tobytes())
-            shown.append(found[0])
+            packed += [self._plain(text[at : found.start()]), np.array([self.added[found[0]]], "<u4").tobytes()]
             at = found.end()
-        self._plain(text[at:] if at else text, packed, shown)
-        return b"".join(packed), " ".join(shown)
+        packed.append(self._plain(text[at:] if at else text))
+        return b"".join(packed)
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids: the file names no decoder, so symbols are joined by spaces."""
@@ -195,24 +240,29 @@ def tokenizer(path: str) -> WordBpe:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids (packed little-endian unsigned 32-bit), decoded.
+    """One row per row of docs: doc_id, n_tokens, ids (packed little-endian unsigned 32-bit).
 
-    Whole texts; null counts as empty, and an empty or blank text has no ids and decodes to "". The strings of the
-    file's special tokens become their ids. Repeated rows give equal rows, an empty table none; other columns are
-    ignored. path must exist on the executors.
+    Whole texts; null counts as empty, and an empty or blank text has no ids. The strings of the file's special tokens
+    become their ids. Repeated rows give equal rows, an empty table none; other columns are ignored. path must exist
+    on the executors.
     """
+    return round_trip(docs, path, id_col, text_col).drop("decoded")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode()'s rows with decoded: the text that decoding each row's ids gives; "" without ids."""
 
     def work(columns: list[list]) -> list[list]:
         own = tokenizer(path)
-        done = [own.encode(t or "") for t in columns[1]]
-        return [columns[0], [len(a) // 4 for a, _ in done], [a for a, _ in done], [b for _, b in done]]
+        ids = [own.encode(t or "") for t in columns[1]]
+        return [columns[0], [len(x) // 4 for x in ids], ids, list(map(own.decode, ids))]
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return map_rows(rows, work, "doc_id bigint, n_tokens bigint, ids binary, decoded string", rows=256)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded (doc_id, ids) with text decoded anew from ids: (doc_id, decoded)."""
+    """(doc_id, decoded) of encoded (doc_id, ids): the text of the ids; "" for null or no ids."""
 
     def work(columns: list[list]) -> list[list]:
         own: Callable[[bytes], str] = tokenizer(path).decode
@@ -222,7 +272,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """The digests of encode()'s rows."""
+    """The digests of round_trip()'s rows."""
     return encoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

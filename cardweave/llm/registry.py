@@ -48,7 +48,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Secrets by token efficiency: random strings cost a tokenizer many tokens for their length.
 
 The base kinds (assign, access, hex) are reported whenever their pattern and check hold. The method adds "random":
-runs of key characters with few characters per token under a tiktoken vocabulary, unless they are known digests,
-identifiers or numbers. Ordinary words, also unknown ones, have over RATIO characters per token.
+runs of key characters with few characters per token under a tiktoken vocabulary, unless they are known digests
+(hexadecimal ones by their lengths), identifiers or numbers. Words, also unknown ones, have over RATIO characters per
+token; random letters, with or without digits, have fewer.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LENGTH)
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 NUMBER = re.compile(r"[0-9+/_=-]+")
+PART = re.compile(r"[A-Za-z0-9]+")
 NAME = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
 
 #: Fixed value: the split of the tiktoken files, which are byte-level.
@@ -46,9 +48,10 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 
 def is_random(run: str, path: str) -> bool:
-    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run) or NAME.fullmatch(run):
+    if not run or DIGEST.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run):
         return False
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+    # Short words between marks cost a token each, and so do the marks.
+    if NAME.fullmatch(run) and len(parts := PART.findall(run)) > 1 and sum(map(len, parts)) <= 3 * len(parts):
         return False
     return len(run) / len(encoding(path).encode_ordinary(run)) <= RATIO
 

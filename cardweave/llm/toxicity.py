@@ -382,4 +382,5 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> Dat
                 yield part.filter(pa.array(keep, pa.bool_()))
             give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    placed = docs.toDF(*map(str, range(len(docs.columns))))  # columns by place: a name may hold a dot
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)

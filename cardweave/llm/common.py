@@ -5,24 +5,27 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import tempfile
-import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut, shared_dir, uncut
+
+__all__ = ["cut", "shared_dir", "uncut"]
+
 #: White space of every contract of this subpackage: [\x20\x09-\x0D].
 SPACE = "[ \\x09-\\x0D]"
 
 #: A key with at least this share of all rows is handled map-side; there are at most 1 / HEAVY_SHARE such keys.
 HEAVY_SHARE = 1 / 1000
 
-_own_dir: list[str] = []
-
+#: Rows of 24 bytes that are broadcast at most: some 200 MB as a hash table.
+BROADCAST_ROWS = 2_000_000
 
 def on_workers(spark: SparkSession) -> None:
     """Lets Python workers import this package where the folder is shared; elsewhere it goes out with --py-files."""
@@ -32,22 +35,36 @@ def on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset, as in tests on one machine, an own one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="cardweave-"))
-    return _own_dir[0]
+def free_name(name: str, columns: Iterable[str]) -> str:
+    """name, or name with underscores behind it, that none of columns is called in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cardweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def row_numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that tells its rows apart and stays the same whenever docs is read, and that column's name.
+
+    Rows of a scan have their file (its name's hash) and their place in it, so nothing is copied; other rows are
+    written to the shared folder with a number.
+    """
+    name, node = free_name("row", docs.columns), docs._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.getClass().getSimpleName() == "LogicalRelation":
+        with contextlib.suppress(AnalysisException):  # a scan of something other than files
+            at = docs.metadataColumn("_metadata")
+            return docs.withColumn(name, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("at"))), name
+    return cut(docs.withColumn(name, F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("at"))), "docs"), name
+
+
+def without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """docs without the rows of dropped, which has docs' column row, and without that column. Up to BROADCAST_ROWS
+    dropped rows are broadcast, so the texts aren't shuffled; more take a shuffle join."""
+    dropped = cut(dropped.select(F.col(dropped.columns[0]).alias(row)), "dropped")
+    few = dropped.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(dropped) if few else dropped.hint("merge"), row, "left_anti").drop(row)
 
 
 def text_or_empty(column: str = "text") -> Column:

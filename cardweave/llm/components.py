@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, uncut
 
 
 def local_components(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -47,7 +47,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(minima(both), "a").filter("b > a and b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = minima(large)
         moved = large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = cut(moved.unionByName(low.withColumnRenamed("low", "b")).filter("a <> b").distinct(), "links")
+        old, edges = edges, cut(moved.unionByName(low.withColumnRenamed("low", "b")).filter("a <> b").distinct(), "links")
+        uncut(old)
         now = state(edges)
         if now == before:
             break

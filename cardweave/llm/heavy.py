@@ -34,9 +34,9 @@ def frequent(df: DataFrame, key: str, total: int, share: float = HEAVY_SHARE) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict = {}
         for batch in batches:
-            for x in batch.column(0).value_counts():
-                k = x["values"].as_py()
-                counters[k] = counters.get(k, 0) + x["counts"].as_py()
+            seen = batch.column(0).value_counts()
+            for k, n in zip(seen.field("values").to_pylist(), seen.field("counts").to_pylist(), strict=True):
+                counters[k] = counters.get(k, 0) + n
             counters = reduce_counters(counters, size)
         arrow = {"binary": pa.binary(), "bigint": pa.int64(), "string": pa.string()}[kind.simpleString()]
         yield pa.RecordBatch.from_arrays([pa.array(counters, arrow), pa.array(counters.values(), pa.int64())], names=["key", "est"])

@@ -1,14 +1,15 @@
 """Mixing sources to target weights.
 
 Each source's words, in a pseudorandom order of its documents, are one stream, packed into blocks of fixed length.
-The mix is a row of slots, one block each. How many slots a source has in an output shard is a multinomial draw,
-conditioned on the totals that the targets give (so targets are met, not just expected). A source's slots go through
-a pseudorandom permutation of its block indices, a new one for each pass over the source, and slots meet documents in
-a join on (source, block).
+The mix is a row of output shards of SHARD slots, one block a slot. How many slots a source has in a shard is a
+multinomial draw, conditioned on the totals that the targets give (so targets are met, not just expected): shards are
+halved down to one, and each half's counts are drawn. A source's slots go through a pseudorandom permutation of its
+block indices, a new one for each pass over the source, and slots meet documents in a join on (source, block).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE, cut, map_rows, on_workers, text_or_empty
+from .common import SPACE, cut, free_name, give_back, on_workers, row_numbered, text_or_empty
 
 #: Words in a block; slots in an output shard; rows of a bucket in the running sums; passes at most over a source.
 BLOCK, SHARD, BUCKET, PASSES = 256, 4096, 2048, 3
@@ -130,33 +132,32 @@ class Plan:
 
     def draw(self, low: int, high: int, counts: tuple[int, ...]) -> tuple[int, ...]:
         """The slots of each source among the first half of shards low to high, which together have counts: a
-        multinomial draw given these totals. Beyond what the generator can count the split is proportional."""
+        multinomial draw given these totals."""
         middle = (low + high) // 2
         n, total = (middle - low) * self.shard, sum(counts)
-        if total > 500_000_000:
-            part = [c * n // total for c in counts]
-            for i in range(n - sum(part)):
-                part[i % len(part)] += part[i % len(part)] < counts[i % len(part)]
-            return tuple(part)
         rng = np.random.Generator(np.random.Philox(key=[self.seed, (low << 32) | high]))
         out = []
         for c in counts:
-            got = int(rng.hypergeometric(c, total - c, n)) if n and c and total else 0
-            out.append(got)
-            n, total = n - got, total - c
+            out.append(hypergeometric(rng, c, total - c, n))
+            n, total = n - out[-1], total - c
         return tuple(out)
 
-    def shard_of(self, source: int, slot: int) -> int:
-        """The output shard of a source's slot: down the tree of draws."""
-        low, high, counts = 0, self.shards(), self.slots
-        while high - low > 1:
-            left = _drawn(self, low, high, counts)
-            if slot < left[source]:
-                high, counts = (low + high) // 2, left
-            else:
-                slot -= left[source]
-                low, counts = (low + high) // 2, tuple(c - x for c, x in zip(counts, left, strict=True))
-        return low
+    def shards_of(self, source: int, slots: np.ndarray) -> np.ndarray:
+        """The output shards of slots of a source, in ascending order: all go down the tree of draws together."""
+        shard = np.zeros(len(slots), np.int64)
+        todo = [(0, self.shards(), self.slots, 0, 0, len(slots))] if len(slots) else []
+        while todo:
+            low, high, counts, before, first, stop = todo.pop()
+            if high - low == 1:
+                shard[first:stop] = low
+                continue
+            middle, left = (low + high) // 2, _drawn(self, low, high, counts)
+            at = first + int(np.searchsorted(slots[first:stop], before + left[source]))
+            if at > first:
+                todo.append((low, middle, left, before, first, at))
+            if at < stop:
+                todo.append((middle, high, tuple(c - x for c, x in zip(counts, left, strict=True)), before + left[source], at, stop))
+        return shard
 
 
 @lru_cache(4096)
@@ -164,6 +165,41 @@ def _drawn(plan: Plan, low: int, high: int, counts: tuple[int, ...]) -> tuple[in
     return plan.draw(low, high, counts)
 
 
+def _log_factorial_ratio(k: float, m: float) -> float:
+    """log(k! / m!), without the loss of digits that a difference of large logarithms has."""
+    if max(k, m) < 1e6:
+        return math.lgamma(k + 1) - math.lgamma(m + 1)
+    if min(k, m) < 1e3:
+        return math.lgamma(k + 1) - math.lgamma(m + 1)
+    rest = lambda x: 1 / (12 * x) - 1 / (360 * x**3)
+    return (k - m) * math.log(m) + (k + 0.5) * math.log1p((k - m) / m) - (k - m) + rest(k) - rest(m)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int, most: int = 500_000_000) -> int:
+    """How many of n slots, of good + bad without putting back, are good. Above what the generator takes (most), a
+    ratio-of-uniforms draw under the same law."""
+    total = good + bad
+    if not (n and good and total):
+        return 0
+    if total <= most:
+        return int(rng.hypergeometric(good, bad, n))
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    mean = n * (good / total)
+    spread = math.sqrt(mean * (bad / total) * ((total - n) / (total - 1)) + 0.5)
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    # Bounds of the ratio of uniforms for a law with one mode, of this mean and spread.
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u = rng.random()
+        k = math.floor(mean + 0.5 + width * (rng.random() - 0.5) / u) if u else low - 1
+        if low <= k <= high:
+            parts = ((mode, k), (good - mode, good - k), (n - mode, n - k), (bad - n + mode, bad - n + k))
+            if 2 * math.log(u) <= sum(_log_factorial_ratio(a, b) for a, b in parts):
+                return k
+
+
 def word_count(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text."""
     bare = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
@@ -209,7 +245,7 @@ def slots(spark, plan: Plan) -> DataFrame:
             source = np.searchsorted(ends, at, "right")
             slot = at - (ends - np.array(plan.slots, np.int64))[source]
             turn, block, take = plan.block_of(source, slot)
-            shard = [plan.shard_of(int(s), int(k)) for s, k in zip(source, slot, strict=True)]
+            shard = np.concatenate([plan.shards_of(int(s), slot[source == s]) for s in np.unique(source)])
             columns = [pa.array(shard, pa.int64()), pa.array(source, pa.int32()), *(pa.array(x, pa.int64()) for x in (slot, turn, block, take))]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "rank", "slot", "turn", "block", "take"])
 
@@ -224,7 +260,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     stop: the words first to stop (exclusive) of a row that a slot takes. Sizes count words; a null text has none.
     Sources weigh 1, 2, 3, repeating, by code point, null last; a target stops at 3 times its source's size. The
     seed and the rows alone settle the mix: reruns agree. Rows without words, empty sources and an empty table give
-    no pieces. Rows that repeat an id are rows of their own. row_col names a unique long, where there is one.
+    no pieces. Rows that repeat an id are rows of their own. row_col names a column that tells rows apart, where there is one.
     """
     spark, text = docs.sparkSession, text_or_empty(text_col)
     sizes = docs.select(
@@ -255,31 +291,55 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken (the words that the mix takes of it)."""
+    """One row per row of docs: doc_id, size, source_size, target, taken (the words that the mix takes of it), shards
+    (the output shards that have some of them, ascending; a document's own slots bound their number)."""
     rows, pieces = mix(docs, **options)
-    sums = pieces.groupBy("row").agg(F.sum(F.col("stop") - F.col("first")).alias("taken"))
-    return rows.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    sums = pieces.groupBy("row").agg(F.sum(F.col("stop") - F.col("first")).alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
+    none = F.array().cast("array<bigint>")
+    return rows.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", none).alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """The mix as documents with docs' columns: one row for each pass that takes words of a row, up to 3. A pass that
-    takes all words has the text as it is, another one the taken runs of words, joined by newlines; n_chars, where
-    it exists, is the length of the text."""
-    base = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    _, pieces = mix(base, id_col, text_col, source_col, seed, row_col="__row")
-    turns = pieces.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("runs"))
-    turns = turns.select(F.col("row").alias("__row"), "runs.first", "runs.stop")
-    parts = base.select("__row", text_col).join(turns, "__row")
-
-    def work(columns: list[list]) -> list[list]:
-        return [columns[0], [runs_of_words(*x) for x in zip(*columns[1:], strict=True)]]
-
-    texts = map_rows(parts.select("__row", text_col, "first", "stop"), work, "row bigint, mixed string", rows=256)
-    texts = texts.withColumnsRenamed({"row": "__row", "mixed": "__text"})
-    out = base.join(texts, "__row").withColumn(text_col, F.col("__text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """The mix as documents with docs' columns, whatever they are called: one row for each pass that takes words of a
+    row, up to 3. A pass that takes all words has the text as it is, another one the taken runs of words, joined by
+    newlines; n_chars, where it exists, is the length of the text. Rows lie by the shard and slot of their first words:
+    a shard's are in one partition, in order.
+
+    Rows without words, null texts among them, aren't in the mix; repeated rows are rows of their own; an empty table
+    gives an empty one.
+    """
+    base, row = row_numbered(docs)
+    _, pieces = mix(base, id_col, text_col, source_col, seed, row_col=row)
+    turns = pieces.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("runs"), F.min(F.struct("shard", "slot")).alias("place"))
+    turns = turns.groupBy("row").agg(F.collect_list(F.struct("place.shard", "place.slot", F.col("runs.first").alias("first"), F.col("runs.stop").alias("stop"))).alias("turns"))
+    joined = base.join(turns.select(F.col("row").alias(row), F.col("turns").alias(free_name("turns", base.columns))), row).drop(row)
+    text, length = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    joined = joined.toDF(*map(str, range(len(docs.columns) + 1)))  # columns by place: names may clash
+    fields = [joined.schema.fields[i] for i in range(len(docs.columns))]
+    schema = T.StructType([*fields, T.StructField("shard", T.LongType()), T.StructField("slot", T.LongType())])
+    on_workers(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts, index, shards, slots = [], [], [], []
+                for i, (whole, turns) in enumerate(zip(part.column(text).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)):
+                    for turn in turns:
+                        texts.append(runs_of_words(whole, turn["first"], turn["stop"]))
+                        index.append(i)
+                        shards.append(turn["shard"])
+                        slots.append(turn["slot"])
+                columns = part.take(pa.array(index, pa.int64())).columns[:-1]
+                columns[text] = pa.array(texts, columns[text].type)
+                if length is not None:
+                    columns[length] = pa.array(list(map(len, texts)), columns[length].type)
+                columns += [pa.array(shards, pa.int64()), pa.array(slots, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+            give_back()
+
+    placed = joined.mapInArrow(run, schema).repartition("shard").sortWithinPartitions("shard", "slot")
+    return placed.drop("shard", "slot").toDF(*docs.columns)
 
 
 def runs_of_words(text: str, first: list[int], stop: list[int]) -> str:

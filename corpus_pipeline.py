@@ -8,17 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cardweave.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from cardweave.llm.common import shared_dir
 from cardweave.llm.registry import TOKENIZERS, table
+from cardweave.sources.lineage import remove, scratch, temporary
+
+
+# Each stage takes documents with nulls in any column, empty, very long and repeated texts, and an empty table, and
+# keeps extra columns; what becomes of them is said at the operator that it calls.
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar, learned from the labelled ones, doesn't reject."""
+    """Documents that the grammar, learned from the labelled ones, doesn't reject; without labels, by the default one."""
     return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts; texts without words are one group."""
     return exact_dedup.drop_copies(docs)
 
 
@@ -28,13 +32,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, as documents; a document that it takes again has a row for each time."""
+    """The words that the mix takes, as documents by output shard; a document that it takes again has a row for each
+    time, one without words has none."""
     return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document of the mix, their number and the digests of ids and decoded text."""
-    return bpe.digests(bpe.encode(docs, f"{TOKENIZERS}/word_bpe_49k.json"))
+    return bpe.digests(bpe.round_trip(docs, f"{TOKENIZERS}/word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -45,15 +50,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encoded),
 ]
 
-#: Learned scores, fingerprints, the mix and ids aren't expressible in SQL; tests hold run() against plain Python.
+#: Learned scores, fingerprints, the mix and ids aren't expressible in SQL; the tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """STAGES over documents, each written to the shared folder and read again by the next. What a stage leaves
+    besides, and the table before it, are removed once it's written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/cardweave/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = f"{scratch(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,7 +32,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Fixed value: the split of the tokenizer file, with white space spelled out.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
 #: Words, pairs and steps that a worker remembers, twice: the current ones and those before. Longer words aren't.
-REMEMBERED, LONGEST = 200_000, 40
+REMEMBERED, LONGEST = 120_000, 40
 #: The symbol after the bytes of a word.
 END = 256
 
@@ -89,33 +89,38 @@ class Automaton:
     """The words of a set that end at each place of a text, longest first."""
 
     def __init__(self, words: dict[tuple[int, ...], int]):
-        edges, own = [{}], [None]
+        #: state << 9 | symbol: the state after it, where a word goes on so.
+        self.edges, own = {}, [None]
         for word, value in words.items():
             at = 0
             for c in word:
-                if c not in edges[at]:
-                    edges[at][c] = len(edges)
-                    edges.append({})
+                to = self.edges.setdefault(at << 9 | c, len(own))
+                if to == len(own):
                     own.append(None)
-                at = edges[at][c]
+                at = to
             own[at] = (value, len(word))
-        self.edges, self.shorter = edges, [0] * len(edges)
-        found: list[tuple[tuple[int, int], ...]] = [()] * len(edges)
+        self.shorter = [0] * len(own)
+        found: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        out: dict[int, list[int]] = {}
+        for key in self.edges:
+            out.setdefault(key >> 9, []).append(key)
         todo = deque([0])
         while todo:
             at = todo.popleft()
-            for c, to in edges[at].items():
+            for key in out.get(at, ()):
+                to = self.edges[key]
                 if at:
-                    self.shorter[to] = self.follow(self.shorter[at], c)
-                found[to] = ((own[to],) if own[to] else ()) + found[self.shorter[to]]
+                    self.shorter[to] = self.follow(self.shorter[at], key & 511)
+                rest = found[self.shorter[to]]
+                found[to] = (own[to], *rest) if own[to] else rest
                 todo.append(to)
         #: state << 9 | symbol: the next state, times 512, and its matches (value, length).
         self.next = Memory(lambda key: ((to := self.follow(key >> 9, key & 511)) << 9, found[to]))
 
     def follow(self, at: int, c: int) -> int:
-        while at and c not in self.edges[at]:
+        while (to := self.edges.get(at << 9 | c)) is None and at:
             at = self.shorter[at]
-        return self.edges[at].get(c, 0)
+        return to or 0
 
 
 class WordBpe:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ MAP = "map<string,string>"
 JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
 
+def let(x: Column, of: Callable[[Column], Column]) -> Column:
+    """of(x) with x computed once: a lambda would compute it anew for each element that it sees."""
+    return F.element_at(F.transform(F.array(x), of), 1)
+
+
 def blank(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
@@ -38,9 +45,12 @@ def token_set(x: Column) -> Column:
 
 def grams(x: Column, n: int = 3) -> Column:
     """Distinct n-grams of a normalised text without its spaces; a short text is its own only gram."""
-    s = F.replace(x, F.lit(" "), F.lit(""))
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n))))
-    return F.when(s == "", F.array().cast("array<string>")).when(F.length(s) <= n, F.array(s)).otherwise(many)
+
+    def of(s: Column) -> Column:
+        many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n))))
+        return F.when(s == "", F.array().cast("array<string>")).when(F.length(s) <= n, F.array(s)).otherwise(many)
+
+    return let(F.replace(x, F.lit(" "), F.lit("")), of)
 
 
 def parse_json(x: Column) -> Column:
@@ -86,20 +96,23 @@ def digit_tokens(tokens: Column) -> Column:
 
 def word_terms(x: Column) -> Column:
     """Words of two characters or more of the lower-cased text, and pairs of adjacent ones."""
-    words = F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
-    return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
+
+    def of(words: Column) -> Column:
+        n = F.size(words) - 1
+        pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(n > 0, F.concat(words, pairs)).otherwise(words)
+
+    return let(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]{2,}"), 0), of)
 
 
 def char_terms(x: Column, shortest: int = 2, longest: int = 5) -> Column:
     """Character n-grams within words, each padded by a space on both sides."""
-    words = F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")
+    words = F.transform(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def parts(padded: Column, n: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, n))
 
-    def of(w: Column) -> Column:
-        padded = F.concat(F.lit(" "), w, F.lit(" "))
+    def of(padded: Column) -> Column:
         size = F.length(padded)
         each = []
         for n in map(F.lit, range(shortest, longest + 1)):

@@ -1,31 +1,40 @@
 """Relational TF-IDF and the cosine of pairs of texts.
 
-Fitted on the distinct texts of the run, the empty one included. Terms stay rows: document frequencies and norms are
-grouped sums that combine map-side, and a pair's cosine joins its texts' terms on (text, term), whose keys are fine
-enough that no common term makes a hot task.
+Fitted on the distinct texts of the run, the empty one included. A text is known by its digest: terms stay rows of
+(digest, term, count), which are grouped where the text lies, and document frequencies combine map-side. The vocabulary
+is bounded and gets numbers, so a text's vector is one row of numbers and weights, and a pair meets its two vectors by
+digest: no common term makes a hot task, and no pair is multiplied by its terms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, char_terms, word_terms
+from ..functions.text import blank, char_terms, let, word_terms
 from ..sources.lineage import cut
 
 MIN_DF, TEXT_TERMS, NAME_TERMS, CHAR_TERMS = 2, 400_000, 300_000, 400_000
 
 
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def distinct_texts(pairs: DataFrame) -> DataFrame:
+    """(key, text) of the distinct texts, null as empty, grouped by key."""
     texts = pairs.select(blank(F.col("text1")).alias("text")).union(pairs.select(blank(F.col("text2"))))
-    return texts.distinct()
+    return texts.groupBy(digest(F.col("text")).alias("key")).agg(F.first("text").alias("text"))
 
 
 def term_counts(texts: DataFrame, terms: Callable[[Column], Column]) -> DataFrame:
-    """(text, term, tf) of distinct texts."""
-    return texts.select("text", F.explode(terms(F.col("text"))).alias("term")).groupBy("text", "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf) of distinct texts."""
+    return texts.select("key", F.explode(terms(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame, min_df: int = MIN_DF) -> DataFrame:
@@ -47,28 +56,47 @@ def vocabulary(frequency: DataFrame, most: int) -> DataFrame:
     return frequency.filter(F.col("ctf") > border).unionByName(ties)
 
 
-def weights(texts: DataFrame, terms: Callable[[Column], Column], most: int) -> DataFrame:
-    """(text, term, w): (1 + ln tf) (ln((1 + N) / (1 + df)) + 1), each text's scaled to length 1."""
+def vectors(texts: DataFrame, terms: Callable[[Column], Column], most: int) -> DataFrame:
+    """(key, ids, weights) of distinct texts with a term left: the terms' numbers, ascending, and of each
+    (1 + ln tf) (ln((1 + N) / (1 + df)) + 1), each text's scaled to length 1."""
     counts = cut(term_counts(texts, terms), "terms")
-    kept = vocabulary(document_frequency(counts), most)
     n = texts.count()
     idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
-    raw = counts.join(kept.select("term", idf.alias("idf")), "term").select("text", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy("text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "text").select("text", "term", (F.col("w") / F.col("norm")).alias("w"))
+    kept = vocabulary(cut(document_frequency(counts), "frequency"), most)
+    # At most `most` terms: one task numbers them, and the table of numbers is small enough for every task.
+    numbered = cut(kept.select("term", idf.alias("idf"), (F.row_number().over(W.orderBy("term")) - 1).alias("id")), "vocabulary")
+    raw = counts.join(F.broadcast(numbered), "term").select("key", F.struct("id", ((1 + F.log("tf")) * F.col("idf")).alias("w")).alias("e"))
+    rows = raw.groupBy("key").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda total, e: total + e["w"] * e["w"]))
+    scaled = let(norm, lambda length: F.transform("e", lambda e: e["w"] / length))
+    return rows.select("key", F.col("e.id").alias("ids"), scaled.alias("weights"))
+
+
+def dot() -> Callable[..., Column]:
+    """A function of two vectors' numbers and weights: the sum of the products at equal numbers, 0 without a vector."""
+
+    @F.pandas_udf("double")
+    def products(ids1: pd.Series, weights1: pd.Series, ids2: pd.Series, weights2: pd.Series) -> pd.Series:
+        out = np.zeros(len(ids1))
+        for k, (i, v, j, w) in enumerate(zip(ids1, weights1, ids2, weights2, strict=True)):
+            if i is not None and j is not None:
+                _, at, to = np.intersect1d(i, j, assume_unique=True, return_indices=True)
+                out[k] = v[at] @ w[to]
+        return pd.Series(out)
+
+    return products
 
 
 def cosine(pairs: DataFrame, terms: Callable[[Column], Column], most: int, name: str) -> DataFrame:
     """pairs (row_idx, text1, text2, …) with the cosine of their texts as name; 0 where a text has no term left."""
-    texts = distinct_texts(pairs)
-    w = cut(weights(texts, terms, most), "weights")
-    sides = pairs.select("row_idx", blank(F.col("text1")).alias("text"), blank(F.col("text2")).alias("other"))
+    keyed = cut(pairs.select("row_idx", *[digest(blank(F.col(f"text{i}"))).alias(f"key{i}") for i in (1, 2)]), "keys")
+    w = cut(vectors(cut(distinct_texts(pairs), "texts"), terms, most), "vectors")
     # Equal pairs of texts are scored once.
-    asked = sides.select("text", "other").distinct()
-    one = asked.join(w, "text")
-    two = w.select(F.col("text").alias("other"), "term", F.col("w").alias("w2"))
-    score = one.join(two, ["other", "term"]).groupBy("text", "other").agg(F.sum(F.col("w") * F.col("w2")).alias(name))
-    scored = sides.join(score, ["text", "other"]).select("row_idx", name)
+    both = keyed.select("key1", "key2").distinct()
+    for i in ("1", "2"):
+        both = both.join(w.select(F.col("key").alias(f"key{i}"), F.col("ids").alias(f"ids{i}"), F.col("weights").alias(f"w{i}")), f"key{i}", "left")
+    score = both.select("key1", "key2", dot()("ids1", "w1", "ids2", "w2").alias(name))
+    scored = keyed.join(score, ["key1", "key2"]).select("row_idx", name)
     return pairs.join(scored, "row_idx", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 

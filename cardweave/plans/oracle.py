@@ -17,7 +17,7 @@ PAIRS = """pairs as (
   from items a join items b on a.category = b.category and b.id > a.id and b.id <= a.id + 40)"""
 
 DOC_ITEMS = """items as (
-  select doc_id as id, substr(text, 1, 60) as name,
+  select doc_id as id, text as name,
     case when doc_id % 3 <> 0 then concat('{"источник": "', source, '"}') end as attributes, lang as category
   from documents)"""
 
@@ -121,15 +121,16 @@ def tfidf(source: str, kind: str, prefix: str = "") -> str:
     """CTEs that end in {prefix}scores (id1, id2, s); source has id1, id2, text1, text2."""
     p = prefix
     words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
-    terms = f"select text, unnest({WORD_TERMS}) as term from (select text, {words} as w from {p}texts)" if kind == "word" else f"select text, unnest({CHAR_TERMS}) as term from {p}texts"
+    terms = f"select md5(text) as k, unnest({WORD_TERMS}) as term from (select text, {words} as w from {p}texts)" if kind == "word" else f"select md5(text) as k, unnest({CHAR_TERMS}) as term from {p}texts"
     return f"""{p}texts as (select text1 as text from {source} union select text2 from {source}),
-{p}tf as (select text, term, count(*) as tf from ({terms}) group by 1, 2),
+{p}tf as materialized (select k, term, count(*) as tf from ({terms}) group by 1, 2),
 {p}df as (select term, count(*) as df, sum(tf) as ctf from {p}tf group by 1 having count(*) >= 2),
-{p}raw as (select text, term, (1 + ln(tf)) * (ln((1 + (select count(*) from {p}texts)) / (1.0 + df)) + 1) as w from {p}tf join {p}df using (term)),
-{p}w as (select text, term, w / sqrt(sum(w * w) over (partition by text)) as w from {p}raw),
-{p}asked as (select distinct text1, text2 from {source}),
-{p}dots as (select text1, text2, sum(a.w * b.w) as s from {p}asked join {p}w a on a.text = text1 join {p}w b on b.text = text2 and a.term = b.term group by 1, 2),
-{p}scores as (select id1, id2, coalesce(s, 0) as s from {source} left join {p}dots using (text1, text2))"""
+{p}raw as (select k, term, (1 + ln(tf)) * (ln((1 + (select count(*) from {p}texts)) / (1.0 + df)) + 1) as w from {p}tf join {p}df using (term)),
+{p}w as materialized (select k, term, w / sqrt(sum(w * w) over (partition by k)) as w from {p}raw),
+{p}keyed as materialized (select id1, id2, md5(text1) as k1, md5(text2) as k2 from {source}),
+{p}asked as (select distinct k1, k2 from {p}keyed),
+{p}dots as (select k1, k2, sum(a.w * b.w) as s from {p}asked join {p}w a on a.k = k1 join {p}w b on b.k = k2 and a.term = b.term group by 1, 2),
+{p}scores as (select id1, id2, coalesce(s, 0) as s from {p}keyed left join {p}dots using (k1, k2))"""
 
 
 TEXTS = f"texts as (select id, category, coalesce(name, '') as raw_name, {TEXT} as text from items)"

@@ -27,11 +27,11 @@ def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_items(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Documents as cards: named by their first 60 characters, or by the whole text."""
+def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as cards, named by their whole text."""
     docs, key = table(spark, sf_dir, "documents"), F.col("doc_id")
     attributes = F.when(key % 3 != 0, F.concat(F.lit('{"источник": "'), "source", F.lit('"}')))
-    return docs.select(key.alias("id"), (F.col("text") if whole else F.substring("text", 1, 60)).alias("name"), attributes.alias("attributes"), F.col("lang").alias("category"), key.alias("row_idx"))
+    return docs.select(key.alias("id"), F.col("text").alias("name"), attributes.alias("attributes"), F.col("lang").alias("category"), key.alias("row_idx"))
 
 
 def near_pairs(items: DataFrame, reach: int, label: str | None = "brand", same: tuple[str, ...] = ("category",)) -> DataFrame:

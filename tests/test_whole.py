@@ -38,8 +38,8 @@ def char_terms(text):
 
 
 def test_ngrams_of_whole_texts(spark, folder):
-    words = {r.doc_id: sorted(r.terms.split("|")) for r in queries.QUERIES["word_ngrams_whole"](spark, folder).collect()}
-    chars = {r.doc_id: Counter(r.terms.split("|")) for r in queries.QUERIES["char_wb_ngrams_whole"](spark, folder).collect()}
+    words = {r.doc_id: sorted(r.terms.split("|")) for r in queries.QUERIES["word_ngrams"](spark, folder).collect()}
+    chars = {r.doc_id: Counter(r.terms.split("|")) for r in queries.QUERIES["char_wb_ngrams"](spark, folder).collect()}
     for i, text in enumerate(TEXTS):
         assert words[i] == sorted(word_terms(text))
         assert chars[i] == Counter(char_terms(text))
@@ -62,18 +62,18 @@ def test_tfidf_of_whole_texts(spark, folder):
     counts = [Counter(word_terms(t)) for t in cards]
     df, total = Counter(k for c in counts for k in c), sum(counts, Counter())
     want = {k: (n, total[k]) for k, n in df.items() if n >= 2}
-    assert {r.term: (r.df, r.ctf) for r in queries.QUERIES["document_frequency_whole"](spark, folder).collect()} == want
+    assert {r.term: (r.df, r.ctf) for r in queries.QUERIES["document_frequency"](spark, folder).collect()} == want
     top = sorted(want, key=lambda k: (-total[k], k))[:100]
-    assert {r.term for r in queries.QUERIES["vocabulary_topk_whole"](spark, folder).collect()} == set(top)
+    assert {r.term for r in queries.QUERIES["vocabulary_topk"](spark, folder).collect()} == set(top)
     words, chars = cosines(word_terms, cards), cosines(char_terms, cards)
-    got = {(r.id1, r.id2): r.predict for r in queries.QUERIES["score_tfidf_whole"](spark, folder).collect()}
+    got = {(r.id1, r.id2): r.predict for r in queries.QUERIES["score_tfidf"](spark, folder).collect()}
     assert got == {k: pytest.approx(v, abs=2e-6) for k, v in words.items()}
-    got = {(r.id1, r.id2): r.predict for r in queries.QUERIES["score_tfidf_wc_whole"](spark, folder).collect()}
+    got = {(r.id1, r.id2): r.predict for r in queries.QUERIES["score_tfidf_wc"](spark, folder).collect()}
     assert got == {k: pytest.approx(0.5 * v + 0.5 * chars[k], abs=2e-6) for k, v in words.items()}
 
 
 def test_joins_read_all_pairs_and_items(spark, monkeypatch):
-    # Ids that the modulo filters drop: 7 and 21 of items, pairs whose id1 isn't a multiple of 11; 99 is unknown.
+    # 99 is unknown.
     cards = spark.createDataFrame([(i, f"n{i}", None, "x", i) for i in (1, 3, 7, 11, 21)] + [(5, None, None, "y", 5)], "id bigint, name string, attributes string, category string, row_idx bigint")
     wanted = [(1, 3), (7, 11), (21, 99), (99, 5), (3, 7)]
     asked = spark.createDataFrame([(a, b, 1, i) for i, (a, b) in enumerate(wanted)], "id1 bigint, id2 bigint, target int, row_idx bigint")
@@ -82,11 +82,13 @@ def test_joins_read_all_pairs_and_items(spark, monkeypatch):
     run = lambda name: {tuple(r) for r in queries.QUERIES[name](spark, "").collect()}
     name = {1: "n1", 3: "n3", 7: "n7", 11: "n11", 21: "n21", 5: None}
     text = lambda i: name.get(i) or ""
-    kind = lambda i: {5: "y", 99: None}.get(i, "x")
-    known = {(a, b) for a, b in wanted if 99 not in (a, b)}
-    assert run("items_semi_join_all") == set(name.items())
-    assert run("pairs_both_sides_semi_all") == run("baseline_inner_pairs_all") == known
-    assert run("attach_texts_all") == {(a, b, text(a), text(b)) for a, b in wanted}
-    assert run("pair_category_coalesce_all") == {(a, b, kind(a) or kind(b)) for a, b in wanted}
-    assert run("missing_text_count_all") == {(5, 2)}
-    assert run("zero_missing_scores_all") == {(a, b, float(a % 10) if text(a) and text(b) else 0.0) for a, b in wanted}
+    kind = lambda i: {5: "y"}.get(i, "x" if i in name else None)
+    assert run("items_semi_join") == set(name.items())
+    # The other queries also have each card with the one 40 ids on, which isn't known here.
+    wanted += [(i, i + 40) for i in name]
+    known = {(a, b) for a, b in wanted if a in name and b in name}
+    assert run("pairs_both_sides_semi") == run("baseline_inner_pairs") == known
+    assert run("attach_texts") == {(a, b, text(a), text(b)) for a, b in wanted}
+    assert run("pair_category_coalesce") == {(a, b, kind(a) or kind(b)) for a, b in wanted}
+    assert run("missing_text_count") == {(len(wanted), sum(not (text(a) and text(b)) for a, b in wanted))}
+    assert run("zero_missing_scores") == {(a, b, float(a % 10) if text(a) and text(b) else 0.0) for a, b in wanted}

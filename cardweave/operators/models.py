@@ -50,6 +50,15 @@ def linear_scores(rows: DataFrame, models: DataFrame, features: Column, name: st
     return found.withColumn(name, checked).drop("__x", "coef", "intercept", "model")
 
 
+def probability(rows: DataFrame, model: DataFrame, features: Column, name: str = "predict") -> DataFrame:
+    """rows with the probability of class 1 under a model of one row (coef, intercept)."""
+    from ..functions.similarity import dot
+
+    of = model.select("coef", "intercept").first()
+    margin = dot(features.cast("array<double>"), F.lit(of.coef)) + of.intercept
+    return rows.withColumn(name, 1 / (1 + F.exp(-margin)))
+
+
 def forest_scores(rows: DataFrame, forest: DataFrame, baseline: DataFrame, features: Column, name: str = "predict") -> DataFrame:
     """rows with baseline and leaf values of their category's trees summed: at a node, left if x <= threshold, and
     where missing_left says so for what isn't a number. Rows walk a tree together, in Arrow batches."""

@@ -71,6 +71,12 @@ def both_sides_in(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     return pairs
 
 
+def in_categories(pairs: DataFrame, items: DataFrame, names: str) -> DataFrame:
+    """Pairs whose first card has one of the categories in a list with commas; space around a name doesn't count."""
+    wanted = [n.strip() for n in names.split(",")]
+    return pairs.join(last_items(items).filter(F.col("category").isin(wanted)).select(F.col("id").alias("id1")), "id1", "left_semi").select(*pairs.columns)
+
+
 def missing_predictions(expected: DataFrame, produced: DataFrame) -> DataFrame:
     return expected.select("id1", "id2").distinct().join(produced.select("id1", "id2"), ["id1", "id2"], "left_anti")
 

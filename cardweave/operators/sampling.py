@@ -20,6 +20,11 @@ def rank_pct(value: str, by: str) -> Column:
     return (F.rank().over(W.partitionBy(by).orderBy(value)) + (F.count("*").over(ties) - 1) / 2) / F.count("*").over(whole)
 
 
+def rank_blend(first: str, second: str, weight: float, by: str) -> Column:
+    """Percentile ranks of two scores, weighed."""
+    return weight * rank_pct(first, by) + (1 - weight) * rank_pct(second, by)
+
+
 def sample_pairs(pairs: DataFrame, n: int, seed: int = 1234) -> DataFrame:
     """Exactly n pairs, or all."""
     return pairs.orderBy(draw(seed, "id1", "id2"), "id1", "id2").limit(n)

@@ -28,14 +28,15 @@ def training_rows(rows: DataFrame, max_rows: int = MAX_ROWS, seed: int = 2026, f
     return twice.join(F.broadcast(sizes), "model").filter(draw(seed, "id1", "id2") < share * float(1 << 32)).drop("n")
 
 
-def newton_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Minimises half the squared length of coefficients and intercept plus c times the weighted log loss."""
+def newton_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, steps: int = 30, free_intercept: bool = False) -> tuple[np.ndarray, float]:
+    """Minimises half the squared length of coefficients and, unless it is free, intercept plus c times the weighted log loss."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+    held = np.append(np.ones(x.shape[1] - 1), 0.0 if free_intercept else 1.0)
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        slope = w + c * (x.T @ (weight * (p - y)))
-        curve = np.eye(len(w)) + c * (x.T @ (x * (weight * p * (1 - p))[:, None]))
+        slope = held * w + c * (x.T @ (weight * (p - y)))
+        curve = np.diag(held) + c * (x.T @ (x * (weight * p * (1 - p))[:, None]))
         step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -57,6 +58,28 @@ def train_logistic(rows: DataFrame, features: Column, c: float = 1.0, max_rows:
     return data.groupBy("model").applyInPandas(fit, "category string, coef array<float>, intercept float")
 
 
+def train_balanced(rows: DataFrame, features: Column, c: float = 1.0, max_rows: int = MAX_ROWS) -> DataFrame:
+    """One row (category, coef, intercept) of rows (id1, id2, target, …): features are scaled to mean 0 and deviation 1,
+    both classes weigh alike. The scaling is part of the coefficients, so the model takes plain features."""
+    data = training_rows(rows.withColumn("category", F.lit(FALLBACK)), max_rows, fallback=False)
+
+    def fit(key, part):
+        x, y = np.stack(part.x.to_numpy()).astype(np.float64), part.y.to_numpy()
+        if part.y.nunique() < 2:
+            raise ValueError("labels of one class only")
+        order = np.lexsort((*x.T, y))
+        x, y = x[order], y[order]
+        mean, deviation = x.mean(0), x.std(0)
+        deviation[deviation == 0] = 1.0
+        share = np.where(y == 1, y.mean(), 1 - y.mean())
+        coef, intercept = newton_logistic((x - mean) / deviation, y, 0.5 / share, c, free_intercept=True)
+        coef = coef / deviation
+        return pd.DataFrame({"category": [key[0]], "coef": [coef.tolist()], "intercept": [intercept - float(mean @ coef)]})
+
+    data = data.select("model", (F.col("target") >= 0.5).cast("double").alias("y"), features.alias("x"))
+    return data.groupBy("model").applyInPandas(fit, "category string, coef array<double>, intercept double")
+
+
 def grow_tree(codes: np.ndarray, slope: np.ndarray, curve: np.ndarray, bins: int, leaves: int, least: int, l2: float) -> tuple[list[dict], np.ndarray]:
     """One leaf-wise tree on binned features (codes: rows x features, 0 for missing): nodes, and each row's leaf."""
     n, width = codes.shape
@@ -222,7 +245,11 @@ def tree_scores(rows: DataFrame, forest: DataFrame, features: Column, name: str
     return rows.withColumn(name, F.nanvl(walk(F.coalesce("category", F.lit("None")), features), F.lit(None)))
 
 
+def confident(soft: DataFrame) -> DataFrame:
+    """Soft labels that are 0, or 8/9 and more."""
+    return soft.filter((F.col("target") == 0) | (F.col("target") >= 8 / 9))
+
+
 def hybrid_rows(hard: DataFrame, soft: DataFrame, factor: float) -> DataFrame:
-    """Human labels weighing factor and confident soft labels (0, or 8/9 and more) weighing 1."""
-    sure = soft.filter((F.col("target") == 0) | (F.col("target") >= 8 / 9))
-    return hard.withColumn("weight", F.lit(float(factor))).unionByName(sure.withColumn("weight", F.lit(1.0)))
+    """Human labels weighing factor and all soft labels weighing 1."""
+    return hard.withColumn("weight", F.lit(float(factor))).unionByName(soft.withColumn("weight", F.lit(1.0)))

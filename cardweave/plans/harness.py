@@ -24,14 +24,18 @@ def prepare(items: DataFrame, pairs: DataFrame, n: int, folder: str, seed: int =
     used_items(items, blind).select("id", "name", "attributes", "category").write.mode("overwrite").parquet(f"{folder}/items")
 
 
-def accept(spark: SparkSession, items: DataFrame, pairs: DataFrame, folder: str, stages: dict[str, tuple[int, int]] = STAGES, run: Callable = predict_pipeline, **options) -> list[tuple[str, float, list[str]]]:
+def accept(spark: SparkSession, items: DataFrame, pairs: DataFrame, folder: str, stages: dict[str, tuple[int, int]] = STAGES, run: Callable = predict_pipeline, seed: int = 1234, **options) -> list[tuple[str, float, list[str]]]:
     """(stage, seconds, errors) of each stage that ran."""
     done = []
     for stage, (n, limit) in stages.items():
         at = f"{folder}/{stage}"
-        prepare(items, pairs, n, at)
+        prepare(items, pairs, n, at, seed)
         began = time.perf_counter()
-        run(spark, f"{at}/items", f"{at}/pairs", f"{at}/out", **options)
+        try:
+            run(spark, f"{at}/items", f"{at}/pairs", f"{at}/out", **options)
+        except Exception as failure:  # whatever ends the run is the stage's result
+            done.append((stage, time.perf_counter() - began, [f"the run failed: {failure}"]))
+            break
         took = time.perf_counter() - began
         found = validate_output(spark.read.parquet(f"{at}/pairs"), tables.read_submission(spark, f"{at}/out"))
         errors = [f"{r.check_name}: {r.n_bad}" for r in found.filter(F.col("n_bad") > 0).collect()]

@@ -7,17 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.encoder import PREFIX, encode
 from ..operators.features import NAMES, pair_features, vector
 from ..operators.models import embedding_scores, forest_scores, linear_scores
 from ..operators.pairs import missing_text, with_texts
 from ..operators.tfidf import tfidf, tfidf_wc
 from ..sources import tables
+from ..sources.lineage import cut, uncut
 
 
-def embed(pairs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    """Scores by vectors (key: the text, vector: an encoder's normalised output), made once for each distinct text."""
+def embed(pairs: DataFrame, vectors: DataFrame | None = None, encoder: Callable | None = None, prefix: str = PREFIX) -> DataFrame:
+    """Scores by vectors (key: the text, vector: an encoder's normalised output), or by those that an encoder's factory
+    gives: each distinct text is encoded once."""
     if vectors is None:
-        raise ValueError("embed needs vectors of the texts: an encoder is pluggable, none is included")
+        if encoder is None:
+            raise ValueError("embed needs vectors of the texts or an encoder: none is included")
+        vectors = cut(encode(pairs.select(F.col("text1").alias("text")).union(pairs.select("text2")), encoder, prefix), "vectors")
     return embedding_scores(pairs.withColumns({"key1": F.col("text1"), "key2": F.col("text2")}), vectors).drop("key1", "key2")
 
 
@@ -53,10 +58,11 @@ def predict_pipeline(spark: SparkSession, items_path: str, matches_path: str, ou
         models = tables.read_model(spark, model_path, NAMES)
     elif method == "boosted":
         models, baseline = tables.read_model(spark, f"{model_path}/forest", NAMES), tables.read_model(spark, f"{model_path}/baseline", NAMES)
-    scored = predict_scores(pairs, items, method, models, baseline).persist()
+    scored = predict_scores(pairs, items, method, models, baseline)
+    scored = cut(scored, "scored")
     n, expected = scored.count(), pairs.count()
     if n != expected:
         raise RuntimeError(f"{n} scores for {expected} pairs")
     tables.write_submission(scored, output_path)
-    scored.unpersist()
+    uncut(scored)
     return n

@@ -15,6 +15,7 @@ from ..sources import fixtures as fx
 from ..sources.fixtures import table
 from ..sources.lineage import cut
 from . import oracle as o
+from . import training as training_plans
 from .pipeline import predict_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,6 +230,20 @@ def macro_ap(spark, d):
     return metrics.macro_ap(scored(spark, d)).select(F.round("macro_ap", 9).alias("macro_ap"))
 
 
+@query("ap_of_rank_blends", f"""with {o.SCORED}, ranked as (select y, cat, s, y * -1.0::double + s % 7 as r from scored),
+pct as (select y, cat, (rank() over (partition by cat order by s) + (count(*) over (partition by cat, s) - 1) / 2.0::double) / count(*) over (partition by cat) as a,
+  (rank() over (partition by cat order by r) + (count(*) over (partition by cat, r) - 1) / 2.0::double) / count(*) over (partition by cat) as b from ranked),
+long as (select y, concat(w, '|', cat) as cat, round(w * a + (1 - w) * b, 9) as s from pct, (values (0.25::double), (0.5::double), (0.75::double)) as ws(w)),
+{o.AP.replace("from scored", "from long")}
+select split_part(cat, '|', 1) as scorer, split_part(cat, '|', 2) as cat, round(ap, 9) as ap from aps""")
+def ap_of_rank_blends(spark, d):
+    """Average precision of blends of two scores' ranks, for each weight and category."""
+    rows = scored(spark, d).withColumn("r", -F.col("y").cast("double") + F.col("s") % 7)
+    ranked = rows.withColumns({f"blend{i}": F.round(sampling.rank_blend("s", "r", w, "cat"), 9) for i, w in enumerate(training_plans.BLENDS)})
+    found = metrics.ap_of_scorers(ranked, {str(w): F.col(f"blend{i}") for i, w in enumerate(training_plans.BLENDS)})
+    return found.select("scorer", "cat", F.round("ap", 9).alias("ap"))
+
+
 @query("single_class_categories", f"with {o.SCORED}, s as (select y, s, case when y = 1 then cat || '1' else cat end as cat from scored) select cat from s group by cat having sum(y) = 0 or sum(y) = count(*)")
 def single_class_categories(spark, d):
     return metrics.single_class(scored(spark, d).withColumn("cat", F.when(F.col("y") == 1, F.concat("cat", F.lit("1"))).otherwise(F.col("cat"))))
@@ -329,7 +344,7 @@ def distinct_ids_union(spark, d):
 @query("union_label_sources", f"{PAIRS}, soft as (select id1, id2, ((id1 * 7 + id2) % 10) / 9.0::double as target from pairs) select id1, id2, target::double as target, 5.0::double as weight from pairs union all select id1, id2, target, 1.0::double from soft where target = 0 or target >= 8.0::double / 9")
 def union_label_sources(spark, d):
     hard = card_pairs(spark, d).select("id1", "id2", F.col("target").cast("double").alias("target"))
-    return train.hybrid_rows(hard, hard.withColumn("target", ((F.col("id1") * 7 + F.col("id2")) % 10) / 9.0), 5)
+    return train.hybrid_rows(hard, train.confident(hard.withColumn("target", ((F.col("id1") * 7 + F.col("id2")) % 10) / 9.0)), 5)
 
 
 TWICE = "twice as (select id, name, id as row_idx from items union all select id - id % 3, name || '!', id + 100000000 from items)"

@@ -36,10 +36,10 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def blocks(pairs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """pairs whose two ids lie in one block of so many rows of items: block, id1, id2."""
+    """block and pairs' columns, where both ids lie in one block of so many rows of items. Of the items only ids are read."""
     at = items.select("id", F.floor(F.col("row_idx") / size).alias("block"))
     left = pairs.join(at.withColumnsRenamed({"id": "id1"}), "id1")
-    return left.join(at.withColumnsRenamed({"id": "id2"}), ["id2", "block"]).select("block", "id1", "id2")
+    return left.join(at.withColumnsRenamed({"id": "id2"}), ["id2", "block"]).select("block", *pairs.columns)
 
 
 def write_submission(scored: DataFrame, path: str) -> None:
@@ -56,14 +56,16 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def read_features(spark: SparkSession, path: str, columns: list[str], rows: int) -> DataFrame | None:
-    """A feature cache, or None if it has other columns or another number of rows."""
+    """A feature cache, or None if there is none; ValueError if it has other columns or another number of rows."""
     try:
         found = spark.read.parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return found if set(columns) <= set(found.columns) and found.count() == rows else None
+    if not set(columns) <= set(found.columns) or found.count() != rows:
+        raise ValueError(f"{path} has the features of other pairs")
+    return found
 
 
 def write_model(model: DataFrame, path: str, names: list[str]) -> None:

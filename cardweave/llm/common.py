@@ -93,6 +93,18 @@ def map_rows(df: DataFrame, work: Callable[[list[list]], list[list]], schema: st
     return df.mapInArrow(run, schema)
 
 
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches have so many rows at most in what is run within: JVM and Python worker each hold whole ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, usual)
+
+
 def give_back() -> None:
     """Returns what a Python worker has freed to the system: workers are kept for later stages."""
     pa.default_memory_pool().release_unused()

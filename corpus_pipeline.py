@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cardweave.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from cardweave.llm.common import batches
 from cardweave.llm.registry import TOKENIZERS, table
-from cardweave.sources.lineage import remove, scratch, temporary
+from cardweave.sources.lineage import cut, remove, scratch, temporary
 
 
 # Each stage takes documents with nulls in any column, empty, very long and repeated texts, and an empty table, and
@@ -38,8 +39,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document of the mix, their number and the digests of ids and decoded text."""
-    return bpe.digests(bpe.round_trip(docs, f"{TOKENIZERS}/word_bpe_49k.json"))
+    """Ids of each document of the mix, their number and the digests of ids and decoded text. They are written here:
+    executors that the stages before have filled hold the tokenizer besides small batches only."""
+    with batches(spark, 500):
+        return cut(bpe.digests(bpe.round_trip(docs, f"{TOKENIZERS}/word_bpe_49k.json")), "encoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

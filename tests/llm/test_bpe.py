@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 from hashlib import sha256
 
 import numpy as np
@@ -48,6 +49,14 @@ def test_memory_keeps_the_latest_and_is_bounded(monkeypatch):
         assert memory[k] == 2 * k and memory[k // 2] == k // 2 * 2 and len(memory) + len(memory.before) <= 20
 
 
+def test_tables_are_small():
+    tracemalloc.start()
+    own = bpe.WordBpe(PATH)
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size < 25_000_000 and own.encode("a")
+
+
 @pytest.mark.parametrize("part, value", [("normalizer", None), ("decoder", {"type": "ByteLevel"}), ("model", {"type": "Unigram"}), ("pre_tokenizer", {"pretokenizers": []})])
 def test_other_files_are_refused(tmp_path, part, value):
     with open(PATH, encoding="utf-8") as f:

@@ -191,3 +191,23 @@ def test_rows_of_a_scan_are_numbered_where_they_lie(spark, tmp_path):
 def test_toxic_rows_go_by_the_default_grammar_without_labels(spark):
     docs = table(spark, [(1, "you idiot, you moron"), (2, "a fine day"), (3, None)])
     assert {r.doc_id for r in toxicity.drop_toxic(docs, toxicity.Grammar()).collect()} == {2, 3}
+
+
+def test_texts_are_encoded_in_small_batches(spark, tmp_path, monkeypatch):
+    key, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", tmp_path / "sizes"
+    usual, round_trip = spark.conf.get(key), corpus_pipeline.bpe.round_trip
+
+    def watched(docs, path):
+        def run(batches):
+            for b in batches:
+                with open(sizes, "a") as f:
+                    f.write(f"{b.num_rows}\n")
+                yield b
+
+        return round_trip(docs.mapInArrow(run, docs.schema), path)
+
+    monkeypatch.setattr(corpus_pipeline.bpe, "round_trip", watched)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert corpus_pipeline.encoded(spark, docs, "").select("doc_id").distinct().count() == 3000
+    seen = list(map(int, sizes.read_text().split()))
+    assert sum(seen) == 3000 and max(seen) <= 500 and spark.conf.get(key) == usual

@@ -46,7 +46,9 @@ def predict_scores(pairs: DataFrame, items: DataFrame, method: str = "tfidf", mo
             scored = forest_scores(rows, models, baseline, vector())
         scored = scored.withColumn("predict", F.when(missing_text(), 0.0).otherwise(F.col("predict")))
     else:
-        scored = scorer(method)(with_texts(pairs, items), **options)
+        score = scorer(method)
+        # These read an item's text once, not with each pair.
+        scored = score(pairs, items=items, **options) if score in (tfidf, tfidf_wc) else score(with_texts(pairs, items), **options)
     return scored.select("row_idx", "id1", "id2", "predict")
 
 

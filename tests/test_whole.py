@@ -7,6 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from cardweave.functions import text as tx
+from cardweave.operators import tfidf
+from cardweave.operators.pairs import with_texts
 from cardweave.plans import queries
 
 HEAD = "the same opening words stand in front of every text here, long enough to fill sixty"
@@ -92,3 +95,54 @@ def test_joins_read_all_pairs_and_items(spark, monkeypatch):
     assert run("pair_category_coalesce") == {(a, b, kind(a) or kind(b)) for a, b in wanted}
     assert run("missing_text_count") == {(len(wanted), sum(not (text(a) and text(b)) for a, b in wanted))}
     assert run("zero_missing_scores") == {(a, b, float(a % 10) if text(a) and text(b) else 0.0) for a, b in wanted}
+
+
+def scores(spark, texts):
+    """(text1, text2): the cosines over words and characters of all pairs of texts."""
+    rows = [(i * 1000 + j, texts[i], texts[j]) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    kinds = {"word": (tfidf.Words, tfidf.TEXT_TERMS), "char": (tfidf.Chars, tfidf.CHAR_TERMS)}
+    got = tfidf.with_cosines(spark.createDataFrame(rows, "row_idx bigint, text1 string, text2 string").repartition(3), kinds).collect()
+    return {(r.row_idx // 1000, r.row_idx % 1000): (r.word, r.char) for r in got}
+
+
+def test_tfidf_writes_no_term_of_a_text(spark, monkeypatch):
+    written, cut = {}, tfidf.cut
+
+    def watched(df, name):
+        out = cut(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(tfidf, "cut", watched)
+    texts = [" ".join(f"w{(i * 7 + k * k) % 50}" for k in range(200)) for i in range(12)]
+    got = scores(spark, texts)
+    words, chars = cosines(word_terms, texts), cosines(char_terms, texts)
+    assert got == {k: (pytest.approx(words[k]), pytest.approx(chars[k])) for k in words}
+    counts = [Counter(f(t)) for f in (word_terms, char_terms) for t in texts]
+    distinct = len(set().union(*counts))
+    assert sum(map(len, counts)) > 2 * distinct
+    assert sum(written.values()) <= distinct + len(texts) + len(words)
+
+
+@pytest.mark.parametrize("block, held, most", [(1 << 11, 2_000_000, 1_000_000), (2, 50, 20)])
+def test_tfidf_of_odd_characters_and_small_limits(spark, monkeypatch, block, held, most):
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))
+    texts = ["", "a", " \t a b\x00 c\x00", "x\x00 c\x00 a", wide, wide[2000:4500] + " a bc", wide[1000:] + "\U0001f600", "İΣ Σa", "i̇ _a a_", "İΣ _A 1²"]
+    monkeypatch.setattr(tfidf, "BLOCK", block)
+    monkeypatch.setattr(tfidf, "HELD", held)
+    monkeypatch.setattr(tfidf, "MOST", most)
+    lower = [r.x for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(F.lower("t").alias("x")).collect()]
+    lists = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(tx.word_terms(F.col("t")).alias("w"), tx.char_terms(F.col("t")).alias("c")).collect()
+    words, chars = ({t: r[n] for t, r in zip(lower, lists, strict=True)} for n in "wc")
+    words, chars = cosines(words.__getitem__, lower), cosines(chars.__getitem__, lower)
+    assert scores(spark, texts) == {k: (pytest.approx(words[k]), pytest.approx(chars[k])) for k in words}
+
+
+def test_scores_of_items_read_the_last_card_and_unknown_ids(spark):
+    cards = [(1, "aa bb", None, "x", 0), (1, "aa cc", None, "x", 1), (2, "aa dd cc", None, "x", 2), (3, None, None, None, 3), (4, "aa cc", None, "x", 4)]
+    items = spark.createDataFrame(cards, "id bigint, name string, attributes string, category string, row_idx bigint")
+    pairs_ = spark.createDataFrame([(0, 1, 2), (1, 2, 4), (2, 1, 4), (3, 3, 1), (4, 9, 2), (5, 9, 3)], "row_idx bigint, id1 bigint, id2 bigint")
+    for score in (tfidf.tfidf, tfidf.tfidf_wc):
+        got = {(r.id1, r.id2): r.predict for r in score(pairs_, items=items).collect()}
+        assert got == {(r.id1, r.id2): pytest.approx(r.predict) for r in score(with_texts(pairs_, items)).collect()}
+        assert got[1, 4] == pytest.approx(1) and got[1, 2] > 0 and got[3, 1] == got[9, 2] == got[9, 3] == 0

@@ -266,7 +266,7 @@ class Vectors:
 
 def learned(texts: DataFrame, kind: type, most: int, n: int) -> Vectors:
     # At most `most` terms, which every task gets.
-    kept = vocabulary(cut(frequencies(texts, kind), "frequency"), most).select("term", "df").toArrow()
+    kept = vocabulary(cut(frequencies(texts, kind), "frequency", "zstd"), most).select("term", "df").toArrow()
     return Vectors(kind, kept["term"].to_pylist(), kept["df"].to_numpy(), n)
 
 
@@ -276,7 +276,7 @@ def cosines(keyed: DataFrame, texts: DataFrame, order: list[str], kinds: dict[st
     placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("row_idx", "key1", "key2", F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1).alias("block"))
     placed = cut(placed, "keys")
     needs = placed.select(F.explode(F.array("key1", "key2")).alias("key"), "block").groupBy("key").agg(F.collect_set("block").alias("blocks"))
-    texts = cut(texts.groupBy("key").agg(F.first("text").alias("text")).join(needs.hint("merge"), "key"), "texts")
+    texts = cut(texts.groupBy("key").agg(F.first("text").alias("text")).join(needs.hint("merge"), "key"), "texts", "zstd")
     n = texts.count()
     own = [learned(texts, kind, most, n) for kind, most in kinds.values()]
     plain = [kind.plain(F.col("text")).alias(f"text{i}") for i, (kind, _) in enumerate(kinds.values())]

@@ -52,13 +52,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     if _open:
         _open[-1].append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     found = spark.read.schema(df.schema).parquet(path)
     found.cut_path = path
     return found

@@ -108,8 +108,8 @@ def scores(spark, texts):
 def test_tfidf_writes_no_term_of_a_text(spark, monkeypatch):
     written, cut = {}, tfidf.cut
 
-    def watched(df, name):
-        out = cut(df, name)
+    def watched(df, name, *codec):
+        out = cut(df, name, *codec)
         written[name] = written.get(name, 0) + out.count()
         return out
 
